@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tidelog.llm.mixing import op8_mixing
 from tidelog.llm.packing import op1_packing
+from tidelog.llm.sharding import op6_sharding
 from tidelog.llm.token_files import op9_token_files
 
 
 def queries() -> dict:
-    own = [op1_packing, op9_token_files]
+    own = [op1_packing, op6_sharding, op8_mixing, op9_token_files]
     return {f.__name__: f for f in own}
 
 

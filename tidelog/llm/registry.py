@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidelog.llm.minhash import OP4_SQL, op4_minhash
 from tidelog.llm.mixing import op8_mixing
 from tidelog.llm.packing import op1_packing
 from tidelog.llm.sharding import op6_sharding
@@ -9,9 +10,9 @@ from tidelog.llm.token_files import op9_token_files
 
 
 def queries() -> dict:
-    own = [op1_packing, op6_sharding, op8_mixing, op9_token_files]
+    own = [op1_packing, op4_minhash, op6_sharding, op8_mixing, op9_token_files]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_minhash": OP4_SQL}

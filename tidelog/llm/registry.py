@@ -7,10 +7,11 @@ from tidelog.llm.mixing import op8_mixing
 from tidelog.llm.packing import op1_packing
 from tidelog.llm.sharding import op6_sharding
 from tidelog.llm.token_files import op9_token_files
+from tidelog.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    own = [op1_packing, op4_minhash, op6_sharding, op8_mixing, op9_token_files]
+    own = [op1_packing, op2_toxicity, op4_minhash, op6_sharding, op8_mixing, op9_token_files]
     return {f.__name__: f for f in own}
 
 

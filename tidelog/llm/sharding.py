@@ -22,6 +22,8 @@ from tidelog.llm.common import documents, table
 
 #: Bytes of text in a bucket. Pass two holds a few copies of one.
 BUCKET_BYTES = 8 << 20
+#: Up to so many buckets, the rows before each are broadcast (3 MB).
+BROADCAST_BUCKETS = 200_000
 
 
 def text_bytes(text: str) -> Column:
@@ -41,6 +43,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20240229,
     written = table(mixed.select("bucket", "place", "row.size", "row.record"), "shards")
     counts = written.groupBy("bucket").agg((F.max("place") + 1).cast("long").alias("rows"))
     before = counts.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("before"))
+    if buckets <= BROADCAST_BUCKETS:  # 16 bytes a bucket; beyond that the join shuffles
+        before = F.broadcast(before)
     place = F.col("before") + F.col("place")
     return written.join(before, "bucket").select("record", "size", "bucket", (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidelog.llm.language_model import op5_language_model
 from tidelog.llm.minhash import OP4_SQL, op4_minhash
 from tidelog.llm.mixing import op8_mixing
 from tidelog.llm.nearest import OP3_SQL, op3_nearest
@@ -13,7 +14,7 @@ from tidelog.llm.vector_dedup import OP7_SQL, op7_vector_dedup
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_toxicity, op3_nearest, op4_minhash, op6_sharding, op7_vector_dedup, op8_mixing, op9_token_files]
+    own = [op1_packing, op2_toxicity, op3_nearest, op4_minhash, op5_language_model, op6_sharding, op7_vector_dedup, op8_mixing, op9_token_files]
     return {f.__name__: f for f in own}
 
 

@@ -61,3 +61,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; a null doc_id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def filesystem(uri: str):
+    """pyarrow's file system of a URI or a path, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)

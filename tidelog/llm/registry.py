@@ -11,10 +11,11 @@ from tidelog.llm.sharding import op6_sharding
 from tidelog.llm.token_files import op9_token_files
 from tidelog.llm.toxicity import op2_toxicity
 from tidelog.llm.vector_dedup import OP7_SQL, op7_vector_dedup
+from tidelog.llm.warc import op10_warc
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_toxicity, op3_nearest, op4_minhash, op5_language_model, op6_sharding, op7_vector_dedup, op8_mixing, op9_token_files]
+    own = [op1_packing, op2_toxicity, op3_nearest, op4_minhash, op5_language_model, op6_sharding, op7_vector_dedup, op8_mixing, op9_token_files, op10_warc]
     return {f.__name__: f for f in own}
 
 

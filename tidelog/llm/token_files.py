@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, fresh_dir, table
-from tidelog.llm.encoding import encoder
+from tidelog.llm.common import documents, filesystem, fresh_dir, table
+from tidelog.llm.encoding import ended, encoder
 
 MAGIC, VERSION = b"TLEF", 1
 FOOTER = struct.Struct("<4sIIIQQQI")
 BLOCK = 512
-ENCODED_AT_ONCE = 2_000
+ENCODED_AT_ONCE = 4_000
 
 
 class EliasFano:
@@ -81,32 +81,27 @@ class EliasFano:
         return (np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count] - i) << self.l | self._low(i)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 class Writer:
     """Streams one file; only the boundaries are held. The file gets its name when it is whole, so that a lost task leaves none."""
 
     def __init__(self, uri: str, width: int):
-        self.fs, self.path = _filesystem(uri)
-        self.width, self.starts, self.ids, self.crc, self.total = width, [0], [], 0, 0
+        self.fs, self.path = filesystem(uri)
+        self.width, self.starts, self.ids, self.crc, self.total = width, [np.zeros(1, np.int64)], [], 0, 0
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.part)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray) -> None:
+        """Documents whose ids stand one after the other; starts: where each one's begin, and the end."""
         body = ids.astype(f"<u{self.width}").tobytes()
         self.crc = zlib.crc32(body, self.crc)
         self.out.write(body)
+        self.starts.append(starts[1:] + self.total)
         self.total += len(ids)
-        self.starts.append(self.total)
-        self.ids.append(doc_id)
+        self.ids += doc_ids
 
     def close(self) -> None:
-        width, low, high = EliasFano.parts(np.array(self.starts), self.total)
+        width, low, high = EliasFano.parts(np.concatenate(self.starts), self.total)
         null = np.packbits(np.array([d is None for d in self.ids], np.uint8), bitorder="little").tobytes()
         for part in (low, high, np.array([d or 0 for d in self.ids], "<i8").tobytes(), null, FOOTER.pack(MAGIC, VERSION, self.width, width, len(self.ids), self.total, 0, self.crc)):
             self.out.write(part)
@@ -118,7 +113,7 @@ class Reader:
     """One file: starts (Elias-Fano), doc_ids, and ids(i) of document i."""
 
     def __init__(self, uri: str):
-        fs, path = _filesystem(uri)
+        fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         magic, version, self.width, low_width, self.count, self.total, _, self.crc = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
@@ -145,14 +140,14 @@ def _writes(tokenizer: str, folder: str, end: int):
 
         enc = encoder(tokenizer)
         width = 2 if max(enc.library.get_vocab_size(), end + 1) <= 1 << 16 else 4
-        shard, out, tail = TaskContext.get().partitionId(), None, end.to_bytes(4, "little")
+        shard, out = TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{shard:08d}.tlef"
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
                 part = batch.slice(at, ENCODED_AT_ONCE)
                 out = out or Writer(path, width)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    out.add(doc, np.frombuffer(ids + tail, "<u4"))
+                ids, starts = ended(*enc.encode(part.column(1)), end)
+                out.add(part.column(0).to_pylist(), ids, starts)
         if out:
             out.close()
             yield pa.record_batch({"shard": pa.array([shard], pa.int64()), "path": pa.array([path]), "documents": pa.array([len(out.ids)], pa.int64()), "tokens": pa.array([out.total], pa.int64())})

@@ -14,16 +14,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import documents, table
-from tidelog.llm.encoding import encoder
+from tidelog.llm.encoding import ended, encoder
 
 #: Remainders of about so many tokens and pieces are packed together.
 GROUP_TOKENS, GROUP_PIECES = 4_000_000, 200_000
-ENCODED_AT_ONCE = 2_000
+ENCODED_AT_ONCE = 4_000
 
 
 class CapacityTree:
@@ -85,21 +86,21 @@ def _cut(tokenizer: str, window: int, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, tail = encoder(tokenizer), end.to_bytes(4, "little")
+        enc = encoder(tokenizer)
         piece = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
                 part = batch.slice(at, ENCODED_AT_ONCE)
-                rows: list[list] = [[] for _ in PIECES]
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    ids += tail
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        of = ids[4 * start : 4 * (start + window)]
-                        for column, value in zip(rows, (piece, doc, start, len(of) // 4, total, of), strict=True):
-                            column.append(value)
-                        piece += 1
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, PIECES, strict=True)], schema=PIECES)
+                ids, starts = ended(*enc.encode(part.column(1)), end)
+                totals = np.diff(starts)
+                counts = -(-totals // window)
+                doc = np.repeat(np.arange(part.num_rows), counts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * window
+                length = np.minimum(totals[doc] - start, window)
+                own = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.append(starts[doc] + start, starts[-1]).astype(np.int32) * np.int32(4)), pa.py_buffer(ids)])
+                columns = [np.arange(piece, piece + len(doc)), part.column(0).take(pa.array(doc)), start, length, totals[doc], own]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
+                piece += len(doc)
 
     return run
 

@@ -3,8 +3,8 @@
 Unit vectors of cosine c or more are at most t = 2 - 2c apart in squared distance. A fixed rotation (random signs and a Hadamard transform)
 spreads each vector over all coordinates; these are split into BLOCKS blocks, each with its share t / BLOCKS of the budget. A pair within t
 is within the share in one block at least. So for each block the vectors are range-joined: ordered by the block's first
-coordinate into ranges of bounded size, and each range meets itself and the ranges that lie within the root of the share. In such a tile a sweep
-compares the blocks' coordinates, and pairs within the share are confirmed by the cosine of the original vectors in double
+coordinate into ranges of bounded size, and each range meets itself and the ranges that lie within the root of the share. In such a tile a grid
+over the block's next two coordinates and a sweep along the first leave the rows to compare, and pairs within the share are confirmed by the cosine of the original vectors in double
 precision. A pair counts in the first block that it is within the share in, so the union of candidates needs no distinct.
 
 Equal vectors are one class from the start. A tile returns counts and one edge per vector, not its pairs.
@@ -16,6 +16,7 @@ and a component of null vec_ids alone has a null component_id; an empty table gi
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -136,16 +137,24 @@ def _joined(width: str, least: float):
         b = r[:, block * size : (block + 1) * size].astype(np.float32)
         square = (b.astype(np.float64) ** 2).sum(1).astype(np.float32)
         at = r[:, block * size]
-        left, right = (rows[np.argsort(at[rows], kind="stable")] for rows in (np.flatnonzero(cell == i), np.flatnonzero(cell == j)))
-        links, forest = np.zeros(len(x), np.int64), Forest(len(x))
-        for k in range(0, len(left) if len(right) else 0, ROWS_AT_ONCE):
-            a = left[k : k + ROWS_AT_ONCE]
-            low, high = np.searchsorted(at[right], [at[a[0]] - reach, at[a[-1]] + reach + SLACK])
-            to = right[low:high]
-            near = square[a][:, None] + square[to] - 2 * (b[a] @ b[to].T) <= share + 1e-5
-            p, q = np.nonzero(near)
+        grid = np.floor(r[:, block * size + 1 : block * size + min(size, 3)] / (reach + SLACK)).astype(np.int64)
+
+        def by_cell(rows: np.ndarray) -> dict[tuple, np.ndarray]:
+            """Rows by their cell in the block's next two coordinates, in order of the first."""
+            rows = rows[np.argsort(at[rows], kind="stable")]
+            if not grid.shape[1]:
+                return {(): rows}
+            named, of = np.unique(grid[rows], axis=0, return_inverse=True)
+            return {tuple(c): rows[of == k] for k, c in enumerate(named.tolist())}
+
+        left, right = by_cell(np.flatnonzero(cell == i)), by_cell(np.flatnonzero(cell == j))
+
+        def meet(a: np.ndarray, others: np.ndarray, once: bool) -> None:
+            low, high = np.searchsorted(at[others], [at[a[0]] - reach - SLACK, at[a[-1]] + reach + SLACK])
+            to = others[low:high]
+            p, q = np.nonzero(square[a][:, None] + square[to] - 2 * (b[a] @ b[to].T) <= share + 1e-5)
             p, q = a[p], to[q]
-            if i == j:
+            if once:
                 p, q = p[p < q], q[p < q]
             for s in range(0, len(p), PAIRS_AT_ONCE):
                 u, v = p[s : s + PAIRS_AT_ONCE], q[s : s + PAIRS_AT_ONCE]
@@ -157,6 +166,16 @@ def _joined(width: str, least: float):
                 np.add.at(links, u, n[v])
                 np.add.at(links, v, n[u])
                 forest.link(u, v)
+
+        steps = list(itertools.product((-1, 0, 1), repeat=grid.shape[1]))
+        links, forest = np.zeros(len(x), np.int64), Forest(len(x))
+        for of, step in itertools.product(left, steps):
+            mine, others = left[of], right.get(tuple(c + d for c, d in zip(of, step, strict=True)))
+            if others is None or (i == j and step < (0,) * len(step)):
+                continue
+            once = i == j and not any(step)
+            for k in range(0, len(mine), ROWS_AT_ONCE):
+                meet(mine[k : k + ROWS_AT_ONCE], others, once)
         some = np.flatnonzero(links)
         return pa.table([cls[some], links[some], cls[forest.root[some]]], schema=LINKS)
 

@@ -3,8 +3,8 @@
 Learning counts the words and the pairs of neighbouring words of all training texts exactly: tasks count what they read, the counts are dealt by
 the n-gram's hash and added up. A count c is quantised to q = 1 + floor(log c / log BASE), and the filter holds the n-gram
 with each of the marks 1 to q. Asking for mark 1, 2, ... until one is missing gives q back, never too small, and too large only where
-all HASHES bits of the next mark happen to be set. The filter is made of segments by hash prefix, each built by one task, and is
-broadcast whole. It takes BITS bits a mark and MOST_BYTES at most; where the marks of all n-grams would need more, those of the lowest q are left
+all HASHES bits of the next mark happen to be set. The filter is made of segments by hash prefix, each built by one task, and goes whole to
+every worker, which reads it once from the shared folder (the driver never holds it). It takes BITS bits a mark and MOST_BYTES at most; where the marks of all n-grams would need more, those of the lowest q are left
 out, as many levels as it takes, and the scores fall back on shorter n-grams for them.
 
 A text's score is the sum over its words, and one end, of log10 of MIX * pair + (1 - MIX) * word, where
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, fold, table
+from tidelog.llm.common import documents, filesystem, fold, fresh_dir, table
 from tidelog.llm.words import hashed, mixed, words
 
 HEAD = 1 << 18
 BASE, HASHES, BITS, MOST_BYTES = 1.5, 4, 10, 96 << 20
 MIX, SPREAD = 0.6, 0.8
-FLUSH_TOKENS, DOCS_AT_ONCE = 4_000_000, 4_000
+FLUSH_TOKENS, DOCS_AT_ONCE = 2_500_000, 2_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -67,6 +67,21 @@ def before(token: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def short(keys: np.ndarray, prefix: int) -> np.ndarray:
+    """The first `prefix` bits and the last 48 of keys of n-grams: what is stored of them, in six bytes of a known segment."""
+    return keys & np.uint64(((1 << prefix) - 1) << (64 - prefix) | (1 << 48) - 1)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(data: bytes, part: int, prefix: int) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64(part << (64 - prefix))
+
+
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, ascending, with its counts added up."""
     order = np.argsort(keys, kind="stable")
@@ -99,7 +114,7 @@ def _counts(bits: int):
         part = (keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
         some = np.flatnonzero(np.diff(cuts))
-        return pa.record_batch([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int64()), pa.array([keys[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()), pa.array([counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() for p in some], pa.binary())], schema=COUNTED)
+        return pa.record_batch([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int64()), pa.array([packed(own) if kind else own.tobytes() for own in (keys[cuts[p] : cuts[p + 1]] for p in some)], pa.binary()), pa.array([counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() for p in some], pa.binary())], schema=COUNTED)
 
     def run(batches):
         singles, pairs, held = [], [], 0
@@ -126,25 +141,24 @@ def _counts(bits: int):
     return run
 
 
-def _sum(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-    return added(keys, np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64))
-
-
 def _words_of(group: pa.Table) -> pa.Table:
-    keys, counts = _sum(group)
+    keys, counts = added(np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64))
     return pa.table({"h": pa.array(keys.view(np.int64)), "c": pa.array(counts)})
 
 
-def _levels_of(group: pa.Table) -> pa.Table:
-    keys, counts = _sum(group)
-    q = level(counts)
-    return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary()), "of_level": pa.array([np.bincount(q, minlength=256).tolist()], pa.list_(pa.int64()))})
+def _levels_of(prefix: int):
+    def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        keys, counts = added(unpacked(b"".join(group.column("keys").to_pylist()), part, prefix), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64))
+        q = level(counts)
+        return pa.table({"part": pa.array([part], pa.int64()), "keys": pa.array([packed(keys)], pa.binary()), "q": pa.array([q.tobytes()], pa.binary()), "of_level": pa.array([np.bincount(q, minlength=256).tolist()], pa.list_(pa.int64()))})
+
+    return run
 
 
-def places(keys: np.ndarray, mark: np.ndarray | int, n: int, size: np.ndarray | int) -> np.ndarray:
+def places(keys: np.ndarray, mark: int, n: int, size: np.ndarray | int) -> np.ndarray:
     """The bit of hash n of (key, mark) in a segment of so many bits."""
-    return (mixed(keys + np.uint64(0x632BE59BD9B4E019) * np.asarray(mark, np.uint64) + np.uint64(0xD1342543DE82EF95) * np.uint64(n + 1)) % np.asarray(size, np.uint64)).astype(np.int64)
+    return (mixed(keys + np.uint64((0x632BE59BD9B4E019 * mark + 0xD1342543DE82EF95 * (n + 1)) & (1 << 64) - 1)) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
@@ -159,11 +173,11 @@ def segment(keys: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _segments(least: int):
+def _segments(least: int, prefix: int):
     def run(batches):
         for batch in batches:
             for part, keys, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                yield pa.record_batch({"part": pa.array([part], pa.int64()), "bits": pa.array([segment(np.frombuffer(keys, np.uint64), np.frombuffer(q, np.uint8), least).tobytes()], pa.binary())})
+                yield pa.record_batch({"part": pa.array([part], pa.int64()), "bits": pa.array([segment(unpacked(keys, part, prefix), np.frombuffer(q, np.uint8), least).tobytes()], pa.binary())})
 
     return run
 
@@ -179,6 +193,7 @@ class Filter:
 
     def holds(self, keys: np.ndarray, mark: int) -> np.ndarray:
         """Which keys have the mark, by membership probes."""
+        keys = short(keys, self.prefix)
         part = (keys >> np.uint64(64 - self.prefix)).astype(np.int64)
         start, size = self.start[part], self.size[part]
         alive = np.flatnonzero(size)
@@ -189,6 +204,26 @@ class Filter:
         out[alive] = True
         return out
 
+    @classmethod
+    def read(cls, folder: str, prefix: int) -> Filter:
+        """The filter of a folder of segments (part, bits), for a worker."""
+        import pyarrow.dataset as ds
+
+        if folder not in _read:
+            fs, path = filesystem(folder)
+            parts: dict[int, bytes] = {}
+            for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=4):
+                parts.update(zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True))
+            size = np.array([8 * len(parts.get(p, b"")) for p in range(1 << prefix)], np.int64)
+            bits = np.empty(int(size.sum()) // 8, np.uint8)
+            start = np.cumsum(size) - size
+            for p, own in sorted(parts.items()):
+                bits[start[p] // 8 : (start[p] + size[p]) // 8] = np.frombuffer(parts[p], np.uint8)
+                parts[p] = b""
+            _read.clear()
+            _read[folder] = cls(bits, start, size, prefix)
+        return _read[folder]
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         q, alive, mark = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
         while len(alive) and mark < 255:
@@ -198,9 +233,13 @@ class Filter:
         return q
 
 
+_read: dict[str, Filter] = {}
+
+
 @dataclass
 class Model:
-    filter: Filter
+    folder: str  # of the filter's segments
+    prefix: int
     head: np.ndarray  # hashes, ascending
     head_counts: np.ndarray
     n: int
@@ -222,7 +261,7 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))
     counted = table(rows.mapInArrow(_counts(bits), "kind int, part long, keys binary, counts binary"), "counts")
     vocabulary = table(counted.filter("kind = 0").groupBy("part").applyInArrow(_words_of, "h long, c long"), "vocabulary")
-    leveled = table(counted.filter("kind = 1").groupBy("part").applyInArrow(_levels_of, "part long, keys binary, q binary, of_level array<long>"), "levels")
+    leveled = table(counted.filter("kind = 1").groupBy("part").applyInArrow(_levels_of(bits), "part long, keys binary, q binary, of_level array<long>"), "levels")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     of_level = leveled.select(F.posexplode("of_level").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect()  # 256 rows
     least, marks = 256, 0
@@ -230,14 +269,12 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
         marks += r["q"] * r["n"]
         if r["q"] and marks * BITS <= 8 * MOST_BYTES:
             least = r["q"]
-    own = leveled.select("part", "keys", "q").mapInArrow(_segments(least), "part long, bits binary").collect()  # MOST_BYTES, and 8 bytes a segment
-    segments = {r["part"]: r["bits"] for r in own}
-    size = np.array([8 * len(segments.get(p, b"")) for p in range(1 << bits)], np.int64)
-    made = Filter(np.frombuffer(b"".join(bytes(segments[p]) for p in sorted(segments)), np.uint8), np.cumsum(size) - size, size, bits)
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()  # HEAD rows
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    folder = fresh_dir(spark, "filter")
+    leveled.select("part", "keys", "q").mapInArrow(_segments(least, bits), "part long, bits binary").write.option("compression", "none").parquet(folder)
+    top = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()  # HEAD rows
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(h)
-    return Model(made, h[order], c[order], n, v, vocabulary)
+    return Model(folder, bits, h[order], c[order], n, v, vocabulary)
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, rare array<long>, times array<int>"
@@ -248,6 +285,7 @@ def _scores(shared):
         from pyspark import TaskContext
 
         model = shared.value
+        bloom = Filter.read(model.folder, model.prefix)
         uid, total = TaskContext.get().partitionId() << 36, model.n + model.v + 1
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
@@ -256,12 +294,12 @@ def _scores(shared):
                 exact = model.exact(h)
                 rare = exact < 0
                 q = np.zeros(len(h), np.uint8)
-                q[rare] = model.filter.levels(word_key(h[rare]))
+                q[rare] = bloom.levels(word_key(h[rare]))
                 low, high = np.where(rare, least_of(q), exact), np.where(rare, most_of(q), exact)
                 single = (low + 1) / total
                 spread = np.maximum(high, 1.0) ** SPREAD
                 history = before(token, starts, len(h) - 1)
-                seen = least_of(model.filter.levels(pair_key(h[history], h[token])))
+                seen = least_of(bloom.levels(pair_key(h[history], h[token])))
                 pair = (seen + spread[history] * single[token]) / (high[history] + spread[history])
                 score = np.add.reduceat(np.log10(MIX * pair + (1 - MIX) * single[token]), starts[:-1])
                 common = np.log10(single) * ~rare
@@ -279,7 +317,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(Model(model.filter, model.head, model.head_counts, model.n, model.v, None))
+    shared = spark.sparkContext.broadcast(Model(model.folder, model.prefix, model.head, model.head_counts, model.n, model.v, None))
     scored = table(rows.mapInArrow(_scores(shared), SCORED), "scores")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     counted = rare.join(model.words, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from tidelog.llm.common import documents, fold, table
 
 #: Labelled rows that a model is fitted on, at most, and terms in the lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
+#: Of the learned terms, so many of the strongest evidence count when misspelled; and longer words than this aren't misspellings.
+FUZZY, LONGEST = 60, 24
 WINDOW = 6
 STEM = range(4, 8)
 LEAST_TEXTS, LEAST_EVIDENCE = 4, 18.0
@@ -57,6 +60,7 @@ def allowed(term: str) -> int:
 class Node:
     next: dict[str, Node] = field(default_factory=dict)
     term: str | None = None
+    lengths: int = 0  # bit n: a term of n letters ends below
 
 
 class Trie:
@@ -66,6 +70,7 @@ class Trie:
             node = self.root
             for c in t:
                 node = node.next.setdefault(c, Node())
+                node.lengths |= 1 << len(t)
             node.term = t
 
     def within(self, word: str, edits: int) -> list[tuple[int, str]]:
@@ -73,12 +78,14 @@ class Trie:
         m, at = len(word), {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        every, found = (1 << m + 1) - 1, []
+        every, found, fit = (1 << m + 1) - 1, [], (1 << 2 * edits + 1) - 1 << m >> edits
         start = [(1 << e + 1) - 1 & every for e in range(edits + 1)]
         todo = [(self.root, start)]
         while todo:
             node, states = todo.pop()
             for c, child in node.next.items():
+                if not child.lengths & fit:
+                    continue
                 mask, new, low = at.get(c, 0), [], 0
                 for e, s in enumerate(states):
                     moved = (s & mask) << 1
@@ -96,24 +103,35 @@ class Trie:
         return sorted(found)
 
 
-class Lexicon:
-    """match(word): (kind, weight) of the best term; kind 0 is the term itself, 1 a misspelling, 2 a stem; None if there is none. Remembers the words that it has seen, up to a bound."""
+class Lexicon(dict):
+    """self[word]: (kind, weight) of the best term; kind 0 is the term itself, 1 a misspelling, 2 a stem; None if there is none. Remembers the words that it has seen, up to a bound.
+    fuzzy: the terms whose misspellings count."""
 
     MOST = 300_000
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.terms, self.stems, self.trie = terms, stems, Trie([t for t in terms if allowed(t)])
-        # of a term with k edits in it, one of k + 1 parts is left as it was, k places from its own at most
-        parts = {p for t in terms if allowed(t) for p in self._parts(t)}
-        self.part = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
-        self.seen: dict[str, tuple[int, float] | None] = {}
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str]):
+        super().__init__()
+        self.terms, self.stems = terms, stems
         self.lengths = sorted({len(s) for s in stems})
+        self.tries = [(k, Trie(own), *self._parts(own, k)) for k in (1, 2) if (own := [t for t in fuzzy if allowed(t) == k])]
 
     @staticmethod
-    def _parts(term: str) -> list[str]:
-        n = allowed(term) + 1
-        cuts = [round(i * len(term) / n) for i in range(n + 1)]
-        return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _parts(terms: list[str], edits: int) -> tuple[dict[str, set[int]], dict[str, set[int]], set[str], list[int]]:
+        """Of a term with so many edits in it, one of edits + 1 parts is left as it was: the first at the start, the last at the end, one between anywhere. The first and last parts, with the lengths that a word may have; the inner ones; and their lengths."""
+        first, last, inner = {}, {}, set()
+        for t in terms:
+            cuts = [round(i * len(t) / (edits + 1)) for i in range(edits + 2)]
+            near = range(len(t) - edits, len(t) + edits + 1)
+            first.setdefault(t[: cuts[1]], set()).update(near)
+            last.setdefault(t[cuts[-2] :], set()).update(near)
+            inner.update(t[a:b] for a, b in zip(cuts[1:-2], cuts[2:-1], strict=True))
+        return first, last, inner, sorted({len(p) for p in (*first, *last, *inner)})
+
+    def __missing__(self, word: str) -> tuple[int, float] | None:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = self._find(word)
+        return found
 
     def _find(self, word: str) -> tuple[int, float] | None:
         if word in self.terms:
@@ -121,21 +139,17 @@ class Lexicon:
         for n in self.lengths:
             if (w := self.stems.get(word[:n])) is not None:
                 return 2, w
-        if self.part and len(word) > 3 and self.part.search(word):
-            for edits, term in self.trie.within(word, 2):
-                if edits <= allowed(term):
-                    return 1, self.terms[term]
+        m, none = len(word), ()
+        if not 3 < m <= LONGEST:
+            return None
+        for edits, trie, first, last, inner, sizes in self.tries:
+            for n in sizes:
+                if m in first.get(word[:n], none) or m in last.get(word[-n:], none) or (inner and any(word[i : i + n] in inner for i in range(1, m - n))):
+                    if found := trie.within(word, edits):
+                        return 1, self.terms[found[0][1]]
+                    break
         return None
 
-    def match(self, word: str) -> tuple[int, float] | None:
-        try:
-            return self.seen[word]
-        except KeyError:
-            if len(self.seen) >= self.MOST:
-                self.seen.clear()
-            found = self.seen[word] = self._find(word)
-            return found
-
 
 FEATURES = 9
 
@@ -144,10 +158,11 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """Sums over the hits of a text: 1, terms, misspellings, stems (each in log), the best weight, share of words, quoted or reported, addressed or clustered, and different terms."""
     out = np.zeros(FEATURES)
     out[0] = 1
-    words, match = words_of(text), lexicon.match
-    hits = [(i, m) for i, w in enumerate(words) if (m := match(w))]
-    if not hits:
+    words = words_of(text)
+    matches = list(map(lexicon.__getitem__, words))
+    if not any(matches):
         return out
+    hits = [(i, m) for i, m in enumerate(matches) if m]
     counts, quoted, pointed, kinds = [0.0, 0.0, 0.0], 0.0, 0.0, set()
     at = [m.start() for m in _WORD.finditer(text.lower())] if any(q in text for q in QUOTES) else None
     places = [i for i, _ in hits]
@@ -176,8 +191,12 @@ UNFITTED = np.array([-4.0, 3.0, 1.5, 1.0, 0.5, 1.0, -2.0, 0.5, 0.5])
 class Model:
     terms: dict[str, float]
     stems: dict[str, float]
+    fuzzy: list[str]
     weights: np.ndarray
 
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.terms, self.stems, self.fuzzy)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
@@ -201,6 +220,18 @@ def _evidence(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
     return 2 * sum(k * math.log(k * n / (row * column)) for k, row, column in cells if k)
 
 
+def _marked(batches):
+    """Two least hashes of each text's three-word runs, which near copies mostly share."""
+    for batch in batches:
+        keys: list[list[int]] = [[], []]
+        for text in batch.column(0).to_pylist():
+            words = text.lower().split()
+            runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+            for seed, own in enumerate(keys):
+                own.append(min(xxhash.xxh3_64_intdigest(r, seed) for r in runs) - (1 << 63))
+        yield pa.record_batch([*batch.columns, pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64())], names=["text", "toxic", "a", "b"])
+
+
 def _counted(batches):
     """Texts of each kind that hold a word or a beginning of a word, for a batch at a time."""
     for batch in batches:
@@ -212,9 +243,9 @@ def _counted(batches):
         yield pa.record_batch({"key": pa.array(keys, pa.string()), "pos": pa.array([counts["1"][k] for k in keys], pa.int64()), "neg": pa.array([counts["0"][k] for k in keys], pa.int64())})
 
 
-def _featured(terms: dict[str, float], stems: dict[str, float]):
+def _featured(*lexicon_of):
     def run(batches):
-        lexicon = Lexicon(terms, stems)
+        lexicon = Lexicon(*lexicon_of)
         for batch in batches:
             x = [features(t.as_py(), lexicon).tolist() for t in batch.column(0)]
             yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "toxic": batch.column(1)})
@@ -223,32 +254,39 @@ def _featured(terms: dict[str, float], stems: dict[str, float]):
 
 
 def fit(labelled: DataFrame) -> Model:
-    """labelled: text, toxic. Learns from SAMPLE rows at most, equal texts of one label once."""
+    """labelled: text, toxic. Learns from SAMPLE rows at most; of near copies with one label mostly one counts, since the words that only they share say nothing."""
     rows = labelled.filter("toxic in (0, 1)").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates()
-    sample = table(rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(SAMPLE), "labelled")
+    tasks = labelled.sparkSession.sparkContext.defaultParallelism
+    drawn = rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(SAMPLE).repartition(tasks).mapInArrow(_marked, "text string, toxic int, a long, b long")
+    one_a = drawn.groupBy("a", "toxic").agg(F.min(F.struct("text", "b")).alias("kept")).select("toxic", "kept.text", "kept.b")
+    sample = table(one_a.groupBy("b", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     all_pos, all_neg = of.get(1, 0), of.get(0, 0)
     terms, stems = {t: 2.0 for t in INSULTS}, {}
     if not all_pos or not all_neg:
-        return Model(terms, stems, UNFITTED)
-    counts = sample.repartition(8).mapInArrow(_counted, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return Model(terms, stems, INSULTS, UNFITTED)
+    counts = sample.repartition(tasks).mapInArrow(_counted, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     likely = counts.filter((F.col("pos") >= LEAST_TEXTS) & (F.col("pos") * all_neg > 4 * F.col("neg") * all_pos)).orderBy(F.desc("pos"), "neg", "key").limit(10 * TERMS).collect()
     found = sorted(((_evidence(r["pos"], r["neg"], all_pos, all_neg), r["key"], math.log((r["pos"] + 0.5) / (all_pos + 1)) - math.log((r["neg"] + 0.5) / (all_neg + 1))) for r in likely), reverse=True)
     for g, key, weight in [f for f in found if f[0] >= LEAST_EVIDENCE][:TERMS]:
-        if key[-1] == "*":
-            stems[key[:-1]] = weight
+        if key[-1] == "*":  # of a stem and its beginnings, the one of most evidence
+            if not any(s.startswith(key[:-1]) or key.startswith(s) for s in stems):
+                stems[key[:-1]] = weight
         else:
             terms[key] = weight
     # a stem that stands only in words that are terms themselves adds nothing but accidents
     pos = {r["key"]: r["pos"] for r in likely}
     stems = {s: w for s, w in stems.items() if pos[f"{s}*"] > 1.3 * max((pos.get(t, 0) for t in terms if t.startswith(s)), default=0)}
-    got = sample.mapInArrow(_featured(terms, stems), "x array<double>, toxic int").collect()  # SAMPLE rows of FEATURES numbers at most
-    return Model(terms, stems, fit_weights(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)))
+    lengths = sorted({len(s) for s in stems})
+    terms = {t: w for t, w in terms.items() if t in INSULTS or not any(t[:n] in stems for n in lengths)}
+    fuzzy = [*INSULTS, *[key for _, key, weight in found if key in terms and key not in INSULTS and weight >= 3][:FUZZY]]
+    got = sample.repartition(tasks).mapInArrow(_featured(terms, stems, fuzzy), "x array<double>, toxic int").collect()  # SAMPLE rows of FEATURES numbers at most
+    return Model(terms, stems, fuzzy, fit_weights(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)))
 
 
 def _scored(model: Model):
     def run(batches):
-        lexicon = Lexicon(model.terms, model.stems)
+        lexicon = model.lexicon()
         for batch in batches:
             x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.record_batch([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
@@ -263,7 +301,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def _flagged(model: Model, threshold: float):
     def run(batches):
-        lexicon = Lexicon(model.terms, model.stems)
+        lexicon = model.lexicon()
         for batch in batches:
             x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(model.score(x) < threshold))
@@ -279,11 +317,12 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "t
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, learn_from=None) -> DataFrame:
-    """text, toxic of the documents with a label that learn_from (a condition on doc_id) lets through."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic is not null")
+    """text, toxic of the documents of SAMPLE labels, those of least hash among the ones that learn_from (a condition on doc_id) lets through. The labels are few enough to broadcast, so no text is shuffled to find them."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("toxic is not null and doc_id is not null")
     if learn_from is not None:
         own = own.filter(learn_from)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id").select("text", "toxic")
+    drawn = own.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> Model:

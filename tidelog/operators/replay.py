@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidelog.functions import layout, schema
 from tidelog.operators.validate import Report, records, validate
@@ -66,7 +67,7 @@ def summary_line(s: DataFrame) -> DataFrame:
     return s.select(F.format_string("summary " + " ".join(parts), *columns).alias("line"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """Doubles with six significant digits, trailing zeros left out; Spark's own format keeps them."""
     return values.map(lambda v: f"{v:.6g}")

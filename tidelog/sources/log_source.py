@@ -192,11 +192,11 @@ class StreamWriter(DataSourceStreamArrowWriter):
 
 
 class StreamReader(DataSourceStreamReader):
-    """Records as the journal commits them, at most max_records a micro-batch."""
+    """Records as the journal commits them. max_records bounds what a micro-batch adds under a trigger that goes on; with availableNow, which asks for an end once, it bounds the whole run, so leave it out there."""
 
     def __init__(self, options: dict, of: StructType):
         self.options, self.of = dict(options), of
-        self.most, self.reached = int(options.get("max_records", 1_000_000)), 0
+        self.most, self.reached = int(options.get("max_records", layout.U64_MAX)), 0
 
     def initialOffset(self) -> dict:
         return {"records": 0}

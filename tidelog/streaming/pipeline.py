@@ -10,10 +10,11 @@ from tidelog.functions import layout
 from tidelog.sources.log_source import register
 
 
-def log_stream(spark: SparkSession, path: str, max_records: int = 1_000_000) -> DataFrame:
-    """A log's committed records as a stream of telemetry rows."""
+def log_stream(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
+    """A log's committed records as a stream of telemetry rows. max_records: see the source."""
     register(spark)
-    return spark.readStream.format("telemetrylog").options(path=path, max_records=str(max_records)).load().select(*layout.COLUMNS)
+    bound = {} if max_records is None else {"max_records": str(max_records)}
+    return spark.readStream.format("telemetrylog").options(path=path, **bound).load().select(*layout.COLUMNS)
 
 
 def record_stream(rows: DataFrame, path: str, checkpoint: str, **options: object) -> StreamingQuery:

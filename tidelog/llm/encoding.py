@@ -11,6 +11,7 @@ import functools
 import itertools
 import json
 import os
+import unicodedata
 from pathlib import Path
 
 import numpy as np
@@ -71,14 +72,18 @@ class Encoder:
             out.update(zip(chunk, own, strict=True))
         return out
 
+    def _letters(self, word: str) -> bool:
+        """Whether a word is letters alone, also in the form that the words mode's normalizer gives it (a lower case may hold marks)."""
+        return word.isalpha() and (self.mode == "bytes" or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
     def _learn(self, missing: set[str]) -> None:
         """Adds the ids of all missing pieces to known."""
         known, runs, ended, rest = self.known, set(), [], []
         for piece in missing:
             word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha():
+            if self._letters(word):
                 runs.add(piece)
-            elif (start := word.rstrip(_MARKS)).isalpha():
+            elif self._letters(start := word.rstrip(_MARKS)):
                 ended.append((piece, piece[: len(piece) - len(word) + len(start)], word[len(start) :]))
             else:
                 rest.append(piece)

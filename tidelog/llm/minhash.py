@@ -8,9 +8,11 @@ the estimate from equal registers, less the expected accidental ones, comes with
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other. In a bucket of a band, each class is compared with
-one leader, by a different order in each band. Links from these give components. Where a bucket of three or more still holds
-more than one component, all its pairs across components are compared, in tiles of bounded size. So a large group of near
-copies costs about a comparison per member and band, and no pair that shares a band and may change a component goes untested.
+one leader, by a different order in each band. Links from these give components. While a bucket of three or more holds more than
+one component, its pairs across components are compared: all of a small bucket's; of a large one's, in tiles of bounded size, the likeliest partners of
+each member, for as long as that finds links, and last all of them inside the tiles, which carry the sets and return a
+link for each two components that meet. So a large group of near copies costs about a comparison per member and band, and no
+pair that shares a band and may change a component goes untested.
 
 Four registers a band and 32 bands find a pair of similarity 0.8 but for about one in 10^7 (0.59^32).
 
@@ -37,6 +39,8 @@ SIGMAS = 4.5
 #: Share of the registers of unequal items that agree by accident, times 2^(mantissa bits): the published constant of HyperMinHash.
 ACCIDENT = 0.169919487159739
 SMALL_BUCKET, TILE = 32, 1024
+#: Partners of each member of a large bucket that are compared first.
+PARTNERS = 1
 #: Up to so many keys of texts are broadcast to find the texts again (8 bytes each).
 BROADCAST_KEYS = 500_000
 _SCRAMBLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -140,6 +144,17 @@ def _sets(width: int):
     return run
 
 
+def _sets32(width: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            own = [shingles(t.as_py(), width, hashes) for t in batch.column(0)]
+            ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in own]
+            yield pa.record_batch({"cls": pa.array(ids, pa.int64()), "members_of": pa.array([(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in own], pa.binary())})
+
+    return run
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected similarity of sketches (rows of registers) of sets of n_a and n_b items, and how many registers it rests on."""
     used = ((a != 0) | (b != 0)).sum(-1)
@@ -168,24 +183,71 @@ def _near(similarity: float):
     return run
 
 
-def _tile(similarity: float):
+def _rivals(x: int, rows: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of rows that are in another component than x and may be similar to it."""
+    rows = rows[(comp[rows] != comp[x]) & (np.minimum(n[rows], n[x]) >= similarity * np.maximum(n[rows], n[x]) - 1e-9)]
+    return rows[may_reach(similarity, sketch[x][None], sketch[rows], n[x], n[rows])] if len(rows) else rows
+
+
+def _likeliest(similarity: float):
+    """For each member of a tile the PARTNERS rivals of best estimate in it: x < y, and whether there are more."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("cls")
+        cls, comp, n, chunk = (tile.column(c).to_numpy() for c in ("cls", "comp", "n", "chunk"))
+        sketch, key = _matrix(tile.column("sketch")), tile.column("key")[0].as_py()
+        i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        sides, found = [np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)], []
+        for own, others in (sides,) if i == j else (sides, sides[::-1]):
+            for x in own:
+                to = _rivals(x, others, comp, n, sketch, similarity)
+                if more := len(to) > PARTNERS:
+                    to = to[np.lexsort((cls[to], -estimate(sketch[x][None], sketch[to], n[x], n[to])[0]))[:PARTNERS]]
+                found += [(key, min(cls[x], c), max(cls[x], c), more) for c in cls[to]]
+        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "x", "y", "more"])
+
+    return run
+
+
+def _linked(similarity: float, percent: int):
+    """Compares all rivals of a tile on their sets, as 32-bit hashes; a link for each two components that meet in one."""
+
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("cls")
         cls, comp, n, chunk = (tile.column(c).to_numpy() for c in ("cls", "comp", "n", "chunk"))
-        sketch = _matrix(tile.column("sketch"))
+        comp, sketch = comp.copy(), _matrix(tile.column("sketch"))
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-        xs, ys, found = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), []
-        for x in xs:
-            to = ys[(cls[ys] > cls[x]) if i == j else slice(None)]
-            to = to[(comp[to] != comp[x]) & (np.minimum(n[to], n[x]) >= similarity * np.maximum(n[to], n[x]) - 1e-9)]
-            if len(to):
-                ok = may_reach(similarity, sketch[x][None], sketch[to], n[x], n[to])
-                found += [(min(cls[x], c), max(cls[x], c)) for c in cls[to[ok]]]
-        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
+        sets = [np.frombuffer(b, np.uint32) for b in tile.column("members_of").to_pylist()]
+        universe, of = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        there, found = np.zeros(len(universe), np.int32), []
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        for x in left:
+            to = _rivals(x, right[right > x] if i == j else right, comp, n, sketch, similarity)
+            if not len(to):
+                continue
+            own = of[ends[x] : ends[x + 1]]
+            there[own] = 1
+            at = np.concatenate([of[ends[y] : ends[y + 1]] for y in to])
+            shared = np.add.reduceat(there[at], np.concatenate([[0], np.cumsum(ends[to + 1] - ends[to])[:-1]]))
+            there[own] = 0
+            for y in to[100 * shared >= percent * (n[x] + n[to] - shared)]:
+                if comp[y] != comp[x]:
+                    found.append((min(cls[x], cls[y]), max(cls[x], cls[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], names=["x", "y"])
 
     return run
 
 
+def _texts(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """text: one of each class of ends (cls)."""
+    keys = table(classes.select("cls", "tkey").join(ends, "cls").select("tkey").distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text")).select("text")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (x, y of classes, x < y), those that are similar enough, on the full sets of their texts."""
     similarity = percent / 100
@@ -194,16 +256,26 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     sized = sides.filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     near = table(sized.mapInArrow(_near(similarity), "x long, y long, n_x long, n_y long"), "candidates")
     ends = near.select(F.col("x").alias("cls")).unionByName(near.select(F.col("y").alias("cls"))).distinct()
-    keys = table(classes.select("cls", "tkey").join(ends, "cls").select("tkey").distinct(), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = docs.join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
-    sets = table(texts.select("text").mapInArrow(_sets(width), "cls long, members array<long>"), "sets")
+    sets = table(_texts(ends, classes, docs).mapInArrow(_sets(width), "cls long, members array<long>"), "sets")
     both = near.join(sets.select(F.col("cls").alias("x"), F.col("members").alias("in_x")), "x").join(sets.select(F.col("cls").alias("y"), F.col("members").alias("in_y")), "y")
     shared = F.size(F.array_intersect("in_x", "in_y")).cast("long")
     return both.select("x", "y", "n_x", "n_y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("n_x") + F.col("n_y") - F.col("shared"))).select("x", "y")
 
 
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, cls, members, comp: buckets of three or more members of more than one component."""
+    placed = buckets.filter("members > 2").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "members", F.coalesce("root", "cls").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+    return table(placed.join(split, "key"), "open")
+
+
+def _tiles(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows: key, members, cls. Each bucket in chunks of about TILE members, and each two chunks (i <= j) in a tile."""
+    chunked = rows.withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    other = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.select("key", "cls", *columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tkey (hash of the text), n_shingles, cls, component_id, kept for each row of docs. Links: 100 * intersection >= percent * union of the sets of width-word shingles."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("string").alias("text"))
@@ -218,19 +290,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     links = table(_confirmed(stars, classes, source, width, percent), "links")
     roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
-    placed = buckets.filter("members > 2").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "members", F.coalesce("root", "cls").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-    open_ = table(placed.join(split, "key"), "open")
-    few = open_.filter(F.col("members") <= SMALL_BUCKET)
-    small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
-    chunks = F.ceil(F.col("members") / TILE).cast("int")
-    many = open_.filter(F.col("members") > SMALL_BUCKET).join(classes.select("cls", F.col("n_shingles").alias("n"), "sketch"), "cls").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    tiles = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", "cls", "comp", "n", "sketch", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    large = tiles.groupBy("key", "i", "j").applyInArrow(_tile(similarity=percent / 100), "x long, y long")
-    more = small.unionByName(large).distinct().join(stars, ["x", "y"], "left_anti")
-    new = table(_confirmed(table(more, "more"), classes, source, width, percent), "links")
-    if not new.isEmpty():
-        roots = table(components(links.unionByName(new).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    own = classes.select("cls", F.col("n_shingles").alias("n"), "sketch")
+    tested, more = stars, None
+
+    def join_links(new: DataFrame) -> None:
+        nonlocal links, roots
+        links = links.unionByName(new)
+        roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+
+    while more is None or not new.isEmpty():
+        open_ = _open(buckets, roots)
+        few = open_.filter(F.col("members") <= SMALL_BUCKET)
+        small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
+        many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls")
+        likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, x long, y long, more boolean"), "likely")
+        more = table(small.unionByName(likely.select("x", "y")).distinct().join(tested, ["x", "y"], "left_anti"), "more")
+        new = table(_confirmed(more, classes, source, width, percent), "links")
+        if not new.isEmpty():
+            join_links(new)
+        tested = tested.unionByName(more)
+    if not likely.filter("more").isEmpty():
+        rivals = table(likely.select("key", F.explode(F.array("x", "y")).alias("cls")).distinct(), "rivals")
+        sets = table(_texts(rivals.select("cls").distinct(), classes, source).mapInArrow(_sets32(width), "cls long, members_of binary"), "sets")
+        last = open_.join(rivals, ["key", "cls"]).join(own, "cls").join(sets, "cls")
+        found = table(_tiles(last, "comp", "n", "sketch", "members_of").groupBy("key", "i", "j").applyInArrow(_linked(percent / 100, percent), "x long, y long").distinct(), "found")
+        new = table(_confirmed(found, classes, source, width, percent), "links")
+        if not new.isEmpty():
+            join_links(new)
 
     labelled = classes.select("cls", "least_doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"))

@@ -8,9 +8,9 @@ the estimate from equal registers, less the expected accidental ones, comes with
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other. In a bucket of a band, each class is compared with
-one leader, by a different order in each band. Links from these give components. While a bucket of three or more holds more than
-one component, its pairs across components are compared: all of a small bucket's; of a large one's, in tiles of bounded size, the likeliest partners of
-each member, for as long as that finds links, and last all of them inside the tiles, which carry the sets and return a
+one leader, by a different order in each band. Links from these give components. Where a bucket of three or more holds more than
+one component, its pairs across components are compared: all of a small bucket's; of a large one's, in tiles of bounded size, first the likeliest
+partner of each member, and then all that are left inside the tiles, which carry the sets and return a
 link for each two components that meet. So a large group of near copies costs about a comparison per member and band, and no
 pair that shares a band and may change a component goes untested.
 
@@ -290,29 +290,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     links = table(_confirmed(stars, classes, source, width, percent), "links")
     roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
-    own = classes.select("cls", F.col("n_shingles").alias("n"), "sketch")
-    tested, more = stars, None
-
     def join_links(new: DataFrame) -> None:
         nonlocal links, roots
         links = links.unionByName(new)
         roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
-    while more is None or not new.isEmpty():
-        open_ = _open(buckets, roots)
-        few = open_.filter(F.col("members") <= SMALL_BUCKET)
-        small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
-        many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls")
-        likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, x long, y long, more boolean"), "likely")
-        more = table(small.unionByName(likely.select("x", "y")).distinct().join(tested, ["x", "y"], "left_anti"), "more")
-        new = table(_confirmed(more, classes, source, width, percent), "links")
-        if not new.isEmpty():
-            join_links(new)
-        tested = tested.unionByName(more)
-    if not likely.filter("more").isEmpty():
+    own = classes.select("cls", F.col("n_shingles").alias("n"), "sketch")
+    open_ = _open(buckets, roots)
+    few = open_.filter(F.col("members") <= SMALL_BUCKET)
+    small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
+    many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls")
+    likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, x long, y long, more boolean"), "likely")
+    more = small.unionByName(likely.select("x", "y")).distinct().join(stars, ["x", "y"], "left_anti")
+    new = table(_confirmed(table(more, "more"), classes, source, width, percent), "links")
+    if not new.isEmpty():
+        join_links(new)
+    if not likely.filter("more").isEmpty():  # who had no rival has none now, as components only grow
         rivals = table(likely.select("key", F.explode(F.array("x", "y")).alias("cls")).distinct(), "rivals")
-        sets = table(_texts(rivals.select("cls").distinct(), classes, source).mapInArrow(_sets32(width), "cls long, members_of binary"), "sets")
-        last = open_.join(rivals, ["key", "cls"]).join(own, "cls").join(sets, "cls")
+        still = table(_open(buckets.join(rivals, ["key", "cls"], "left_semi"), roots), "open")
+        sets = table(_texts(still.select("cls").distinct(), classes, source).mapInArrow(_sets32(width), "cls long, members_of binary"), "sets")
+        last = still.join(own.join(sets, "cls"), "cls")
         found = table(_tiles(last, "comp", "n", "sketch", "members_of").groupBy("key", "i", "j").applyInArrow(_linked(percent / 100, percent), "x long, y long").distinct(), "found")
         new = table(_confirmed(found, classes, source, width, percent), "links")
         if not new.isEmpty():

@@ -57,10 +57,33 @@ def test_files_round_trip_and_derivatives(spark, tmp_path):
             assert f"source-payload-digest: {source['headers']['WARC-Payload-Digest']}\r\n" in about and "http-status: HTTP/1.1 200 OK" in about
             if h.get("Page-Id") == "1":
                 assert "outlink: http://e.example/x?a=1&b=2 L a/@href" in about and "title: A & B" in about and "language: fr" in about
+    straight = warc.derive_files(warc.write_responses(pages(spark), str(tmp_path / "in2")), str(tmp_path / "out2"))
+    assert plain(warc.read_warc(straight)) == plain(derived)
     with gzip.open(next((tmp_path / "in").glob("*.gz"))) as f:
         assert f.readline() == b"WARC/1.1\r\n"
     assert warc.digest(b"x") != warc.digest(b"y") and hashlib.sha1(b"").digest_size == 20
 
 
+def test_links_resolve_as_urljoin_does():
+    from urllib.parse import urljoin
+
+    links = ["/a", "/", "//h.example/x", "b?c", "../d", "/e/../f", "#g", "http://i.example/j", "mailto:k", "", "/l?m=/n"]
+    for base in ("http://e.example/d/p", "https://e.example:80"):
+        assert warc.resolved(base, links) == [j for j in (urljoin(base, x) for x in links) if "://" in j]
+    assert warc.resolved(None, links) == ["http://i.example/j"] == warc.resolved("http://[bad", links)
+
+
+def test_members_of_any_size():
+    records = [warc.encoded({"WARC-Type": "x", "WARC-Record-ID": f"<{i}>"}, bytes(i * 1000)) for i in range(30)]
+    apart, whole = b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))
+    for data in (apart, whole, gzip.compress(b"".join(records[:20])) + gzip.compress(b"".join(records[20:]))):
+        assert [len(b) for _, b in warc.records_of(lambda data=data: io.BytesIO(data))] == [i * 1000 for i in range(30)]
+    assert len(list(warc.members(io.BytesIO(apart)))) == 30 and list(warc.members(io.BytesIO(b""))) == []
+    with pytest.raises(OverflowError):
+        list(warc.members(io.BytesIO(whole), 1000))
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.members(io.BytesIO(whole[:-9])))
+
+
 def test_nothing(spark, tmp_path):
     assert warc.derive(warc.read_warc(warc.write_warc(warc.responses(pages(spark, [])), str(tmp_path)))).count() == 0

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import documents, table
 from tidelog.llm.graph import components
+from tidelog.llm.words import hashed, mixed, words
 
 REGISTERS, BITS, MANTISSA = 256, 8, 10
 BAND, BANDS = 4, 32
@@ -39,6 +40,7 @@ SIGMAS = 4.5
 #: Share of the registers of unequal items that agree by accident, times 2^(mantissa bits): the published constant of HyperMinHash.
 ACCIDENT = 0.169919487159739
 SMALL_BUCKET, TILE = 32, 1024
+TEXTS_AT_ONCE = 500
 #: Partners of each member of a large bucket that are compared first.
 PARTNERS = 1
 #: Up to so many keys of texts are broadcast to find the texts again (8 bytes each).
@@ -46,34 +48,10 @@ BROADCAST_KEYS = 500_000
 _SCRAMBLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that leaves no pattern (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """The distinct shingles' hashes, in order of the hash turned right by BITS, so that those of a bucket stand together, least first."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def shingles(w: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingles' hashes of a text's words' hashes, ascending, so that those of a bucket (the first BITS bits) stand together, least first."""
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = hashes.of(words)
     width = min(width, len(w))
     n = len(w) - width + 1
     h = np.zeros(n, np.uint64)
@@ -82,6 +60,19 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(h + np.uint64(width)))
 
 
+def shingled(texts: pa.Array, width: int):
+    """The shingles of each text."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        distinct, of, starts = words(texts.slice(at, TEXTS_AT_ONCE))
+        w = hashed(distinct)[of]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield shingles(w[a:b], width)
+
+
+def class_of(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+
+
 def registers(ordered: np.ndarray) -> np.ndarray:
     """The sketch of a set: (leading zeros + 1) << MANTISSA | mantissa of each bucket's least hash, 0 where there is none. The bucket is the hash's top BITS bits."""
     rest = np.uint64(64 - BITS)
@@ -115,16 +106,11 @@ def dense(sketch: np.ndarray) -> np.ndarray:
 
 def _sketches(width: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for text in batch.column(2):
-                own = shingles(text.as_py(), width, hashes)
-                if len(own):
-                    sketch = registers(own)
-                    values = (len(own), xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), sketch.tobytes(), dense(sketch).tobytes())
-                else:
-                    values = (0, None, None, None)
+            for own in shingled(batch.column(2), width):
+                sketch = registers(own)
+                values = (len(own), class_of(own), sketch.tobytes(), dense(sketch).tobytes()) if len(own) else (0, None, None, None)
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
             yield pa.record_batch({"doc_id": batch.column(0), "tkey": batch.column(1), "n_shingles": pa.array(rows[0], pa.int64()), "cls": pa.array(rows[1], pa.int64()), "sketch": pa.array(rows[2], pa.binary()), "dense": pa.array(rows[3], pa.binary())})
@@ -134,23 +120,20 @@ def _sketches(width: int):
 
 def _sets(width: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = [shingles(t.as_py(), width, hashes) for t in batch.column(0).slice(at, 500)]
-                ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in own]
-                yield pa.record_batch({"cls": pa.array(ids, pa.int64()), "members": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
+                yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
 
     return run
 
 
 def _sets32(width: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            own = [shingles(t.as_py(), width, hashes) for t in batch.column(0)]
-            ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in own]
-            yield pa.record_batch({"cls": pa.array(ids, pa.int64()), "members_of": pa.array([(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in own], pa.binary())})
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
+                yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members_of": pa.array([(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in own], pa.binary())})
 
     return run
 

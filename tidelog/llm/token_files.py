@@ -185,7 +185,7 @@ def _reads(batches):
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian uint32) of every document in the files; a task per file."""
-    return manifest.select("path", "base").repartition(max(1, manifest.count()), "path").mapInArrow(_reads, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("path", "base").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(_reads, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ class Lexicon(dict):
     """self[word]: (kind, weight) of the best term; kind 0 is the term itself, 1 a misspelling, 2 a stem; None if there is none. Remembers the words that it has seen, up to a bound.
     fuzzy: the terms whose misspellings count."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str]):
         super().__init__()
@@ -197,6 +197,9 @@ class Model:
     def lexicon(self) -> Lexicon:
         return Lexicon(self.terms, self.stems, self.fuzzy)
 
+    def scores(self, texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+        return self.score(np.array([features(t.as_py(), lexicon) for t in texts]).reshape(-1, FEATURES))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
@@ -288,8 +291,7 @@ def _scored(model: Model):
     def run(batches):
         lexicon = model.lexicon()
         for batch in batches:
-            x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.record_batch([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(model.scores(batch.column(1), lexicon), pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -303,8 +305,7 @@ def _flagged(model: Model, threshold: float):
     def run(batches):
         lexicon = model.lexicon()
         for batch in batches:
-            x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(model.score(x) < threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(model.scores(batch.column(1), lexicon) < threshold))
 
     return run
 

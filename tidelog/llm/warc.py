@@ -22,9 +22,12 @@ import base64
 import gzip
 import hashlib
 import html
+import io
+import itertools
 import re
 import uuid
-from urllib.parse import urljoin
+import zlib
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,7 @@ from tidelog.llm.common import filesystem, fresh_dir, table
 RECORDS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 RECORDS_SQL = "record_id string, type string, headers map<string,string>, block binary"
 AT_ONCE = 500
-LEVEL = 3
+LEVEL = 1
 #: WARC-Date of pages that come without one.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -80,71 +83,119 @@ def _batch(rows: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([h["WARC-Record-ID"] for h, _ in rows], pa.string()), pa.array([h["WARC-Type"] for h, _ in rows], pa.string()), pa.array([list(h.items()) for h, _ in rows], RECORDS.field("headers").type), pa.array([b for _, b in rows], pa.binary())], schema=RECORDS)
 
 
-def _respond(batches):
+def _batches(rows):
+    """Rows (headers, block) as record batches."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, AT_ONCE)):
+        yield _batch(part)
+
+
+def _responses(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, AT_ONCE):
-            rows = []
             for page, url, body in zip(*(batch.column(c).slice(at, AT_ONCE).to_pylist() for c in range(3)), strict=True):
                 payload = (body or "").encode("utf-8", "surrogatepass")
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-                headers = {"WARC-Type": "response", "WARC-Record-ID": record_id("response", page, url, digest(payload)), "WARC-Date": DATE}
+                own = digest(payload)
+                headers = {"WARC-Type": "response", "WARC-Record-ID": record_id("response", page, url, own), "WARC-Date": DATE}
                 headers |= {"WARC-Target-URI": url} if url is not None else {}
                 headers |= {"Page-Id": str(page)} if page is not None else {}
-                rows.append((headers | {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block)}, block))
-            yield _batch(rows)
+                yield headers | {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": own, "WARC-Block-Digest": digest(block)}, block
+
+
+def _pages(pages: DataFrame, page_id: str, url: str, body: str) -> DataFrame:
+    return pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(body).cast("string"))
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """Response records (record_id, type, headers, block) of a table of pages."""
-    return pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(body).cast("string")).mapInArrow(_respond, RECORDS_SQL)
-
-
-def _writes(folder: str):
-    def run(batches):
-        from pyspark import TaskContext
-
-        fs, top = filesystem(folder)
-        name, out, n = f"part-{TaskContext.get().partitionId():08d}.warc.gz", None, 0
-        part = f"{top}/{name}.{uuid.uuid4().hex}.part"
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                if out is None:
-                    fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(part, compression=None)
-                for headers, block in zip(batch.column(2).slice(at, AT_ONCE).to_pylist(), batch.column(3).slice(at, AT_ONCE).to_pylist(), strict=True):
-                    out.write(gzip.compress(encoded(dict(headers), block), LEVEL, mtime=0))
-                    n += 1
-        if out is not None:
-            out.close()
-            fs.move(part, f"{top}/{name}")
-            yield pa.record_batch({"path": pa.array([f"{folder}/{name}"]), "records": pa.array([n], pa.int64())})
+    return _pages(pages, page_id, url, body).mapInArrow(lambda batches: _batches(_responses(batches)), RECORDS_SQL)
 
-    return run
+
+def _written(rows, folder: str):
+    """Writes rows (headers, block) to a file of this task; its line of the manifest, if there are any."""
+    from pyspark import TaskContext
+
+    fs, top = filesystem(folder)
+    name, out, n = f"part-{TaskContext.get().partitionId():08d}.warc.gz", None, 0
+    part = f"{top}/{name}.{uuid.uuid4().hex}.part"
+    for headers, block in rows:
+        if out is None:
+            fs.create_dir(top, recursive=True)
+            out = fs.open_output_stream(part, compression=None)
+        out.write(gzip.compress(encoded(headers, block), LEVEL, mtime=0))
+        n += 1
+    if out is not None:
+        out.close()
+        fs.move(part, f"{top}/{name}")
+        yield pa.record_batch({"path": pa.array([f"{folder}/{name}"]), "records": pa.array([n], pa.int64())})
+
+
+def _rows(batches, headers: int, block: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            heads, blocks = (batch.column(c).slice(at, AT_ONCE).to_pylist() for c in (headers, block))
+            yield from ((dict(h), b) for h, b in zip(heads, blocks, strict=True))
+
+
+MANIFEST = "path string, records long"
+
+
+def write_responses(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """As write_warc of responses, with the records passing from one to the other inside the tasks."""
+    return table(_pages(pages, page_id, url, body).mapInArrow(lambda batches: _written(_responses(batches), folder), MANIFEST), "manifest")
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Writes records as they are dealt, a gzipped file a partition; gives the manifest: path, records."""
-    return table(records.select("record_id", "type", "headers", "block").mapInArrow(_writes(folder), "path string, records long"), "manifest")
+    return table(records.select("headers", "block").mapInArrow(lambda batches: _written(_rows(batches, 0, 1), folder), MANIFEST), "manifest")
+
+
+def members(raw, most: int = 64 << 20):
+    """The decompressed members of a gzip stream, one at a time; raises for one larger than most."""
+    data = raw.read(1 << 20)
+    while data:
+        one, parts, size = zlib.decompressobj(31), [], 0
+        while not one.eof:
+            if not data and not (data := raw.read(1 << 20)):
+                raise ValueError("the file ends inside a record")
+            parts.append(one.decompress(data))
+            data = one.unused_data
+            if (size := size + len(parts[-1])) > most:
+                raise OverflowError
+        yield b"".join(parts)
+        data = data or raw.read(1 << 20)
+
+
+def records_of(open_file):
+    """(headers, block) of a gzipped file. Files with one member for many records are read as a stream."""
+    n = 0
+    try:
+        with open_file() as raw:
+            for member in members(raw):
+                for row in decoded(io.BytesIO(member)):
+                    yield row
+                    n += 1
+    except OverflowError:
+        with open_file() as raw, gzip.GzipFile(fileobj=raw) as stream:
+            yield from itertools.islice(decoded(stream), n, None)
 
 
-def _reads(batches):
+def _read(batches):
     for batch in batches:
         for path in batch.column(0).to_pylist():
             fs, at = filesystem(path)
-            rows: list[tuple] = []
-            with fs.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                for row in decoded(stream):
-                    rows.append(row)
-                    if len(rows) == AT_ONCE:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
+            yield from records_of(lambda fs=fs, at=at: fs.open_input_stream(at, compression=None))
+
+
+def _files(manifest: DataFrame) -> DataFrame:
+    """The paths, a task for each."""
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the files of a manifest (path); a task per file."""
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(_reads, RECORDS_SQL)
+    return _files(manifest).mapInArrow(lambda batches: _batches(_read(batches)), RECORDS_SQL)
 
 
 #: Elements whose content is no text, and those that end a line.
@@ -153,7 +204,6 @@ _LINES = frozenset("address article aside blockquote br dd div dl dt fieldset fi
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b[^>]*>(?P<inside>.*?)(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*+|[^>]*)>", re.S | re.I)
 _HREF = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
-_BLANKS = re.compile(r"[^\S\n]+")
 
 
 def extract(source: str) -> tuple[str, str, str, list[str]]:
@@ -173,8 +223,29 @@ def extract(source: str) -> tuple[str, str, str, list[str]]:
             title = " ".join(html.unescape(m["inside"]).split())
     out.append(source[at:])
     text = html.unescape("".join(out))
-    lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line), title, language, links
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(filter(None, lines)), title, language, links
+
+
+def resolved(base: str | None, links: list[str]) -> list[str]:
+    """Absolute forms of links; those that have none are left out."""
+    try:
+        at = urlsplit(base or "")
+        origin = f"{at.scheme}://{at.netloc}" if at.scheme and at.netloc else None
+    except ValueError:
+        base = origin = None
+    out = []
+    for link in links:
+        if origin and link[:1] == "/" and link[1:2] not in ("", "/") and "/." not in link:
+            out.append(origin + link)  # what urljoin gives, without its parsing
+            continue
+        try:
+            joined = urljoin(base, link) if base else link
+        except ValueError:
+            continue
+        if "://" in joined:
+            out.append(joined)
+    return out
 
 
 def _payload(block: bytes) -> tuple[str, dict[str, str], bytes]:
@@ -197,13 +268,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, s
         page = body.decode("utf-8", "replace")
     text, title, language, links = extract(page)
     fields = [("source-payload-digest", payload), ("source-block-digest", headers.get("WARC-Block-Digest", digest(block))), ("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in http.items()), ("title", title), ("language", language), ("charset", charset)]
-    for link in links:
-        try:
-            joined = urljoin(target, link) if target else link
-        except ValueError:
-            continue
-        if "://" in joined:
-            fields.append(("outlink", f"{joined} L a/@href"))
+    fields += [("outlink", f"{link} L a/@href") for link in resolved(target, links)]
     about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
     kept = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "Page-Id") if k in headers}
     made = []
@@ -212,21 +277,25 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, s
     return made
 
 
-def _derives(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            heads, blocks = (batch.column(c).slice(at, AT_ONCE).to_pylist() for c in (0, 1))
-            yield _batch([d for h, b in zip(heads, blocks, strict=True) for d in derivatives(dict(h), b)])
+def _derived(rows):
+    for headers, block in rows:
+        if headers.get("WARC-Type") == "response":
+            yield from derivatives(headers, block)
 
 
 def derive(records: DataFrame) -> DataFrame:
     """The metadata and conversion records of all response records."""
-    return records.filter("type = 'response'").select("headers", "block").mapInArrow(_derives, RECORDS_SQL)
+    return records.filter("type = 'response'").select("headers", "block").mapInArrow(lambda batches: _batches(_derived(_rows(batches, 0, 1))), RECORDS_SQL)
+
+
+def derive_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """Reads files of responses and writes a file of derivatives for each, record by record inside a task; gives the manifest."""
+    return table(_files(manifest).mapInArrow(lambda batches: _written(_derived(_read(batches)), folder), MANIFEST), "manifest")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as responses, derives from the files, writes the derivatives and reads them back; a row per derived record."""
-    source = write_warc(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), fresh_dir(spark, "warc"))
-    made = read_warc(write_warc(derive(read_warc(source)), fresh_dir(spark, "warc-derived")))
+    source = write_responses(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_dir(spark, "warc"))
+    made = read_warc(derive_files(source, fresh_dir(spark, "warc-derived")))
     h = lambda name: F.col("headers")[name]
     return made.select(h("Page-Id").cast("long").alias("page_id"), F.col("type").alias("record_type"), "record_id", h("WARC-Refers-To").alias("refers_to"), h("WARC-Target-URI").alias("target_uri"), h("WARC-Date").alias("warc_date"), h("WARC-Source-Payload-Digest").alias("source_payload_digest"), h("WARC-Block-Digest").alias("block_digest"), F.octet_length("block").cast("long").alias("block_bytes"), F.crc32("block").alias("block_crc32"))

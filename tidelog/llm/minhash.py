@@ -173,7 +173,7 @@ def _rivals(x: int, rows: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: n
 
 
 def _likeliest(similarity: float):
-    """For each member of a tile the PARTNERS rivals of best estimate in it: x < y, and whether there are more."""
+    """For each member of a tile that has rivals in it, the PARTNERS ones of best estimate: x < y, and whether there are more."""
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("cls")
@@ -186,8 +186,8 @@ def _likeliest(similarity: float):
                 to = _rivals(x, others, comp, n, sketch, similarity)
                 if more := len(to) > PARTNERS:
                     to = to[np.lexsort((cls[to], -estimate(sketch[x][None], sketch[to], n[x], n[to])[0]))[:PARTNERS]]
-                found += [(key, min(cls[x], c), max(cls[x], c), more) for c in cls[to]]
-        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "x", "y", "more"])
+                found += [(key, cls[x], min(cls[x], c), max(cls[x], c), more) for c in cls[to]]
+        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["key", "member", "x", "y", "more"])
 
     return run
 
@@ -283,13 +283,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     few = open_.filter(F.col("members") <= SMALL_BUCKET)
     small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
     many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls")
-    likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, x long, y long, more boolean"), "likely")
+    likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, member long, x long, y long, more boolean"), "likely")
     more = small.unionByName(likely.select("x", "y")).distinct().join(stars, ["x", "y"], "left_anti")
     new = table(_confirmed(table(more, "more"), classes, source, width, percent), "links")
     if not new.isEmpty():
         join_links(new)
     if not likely.filter("more").isEmpty():  # who had no rival has none now, as components only grow
-        rivals = table(likely.select("key", F.explode(F.array("x", "y")).alias("cls")).distinct(), "rivals")
+        rivals = table(likely.select("key", F.col("member").alias("cls")).distinct(), "rivals")
         still = table(_open(buckets.join(rivals, ["key", "cls"], "left_semi"), roots), "open")
         sets = table(_texts(still.select("cls").distinct(), classes, source).mapInArrow(_sets32(width), "cls long, members_of binary"), "sets")
         last = still.join(own.join(sets, "cls"), "cls")

@@ -19,13 +19,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidelog.llm.common import documents, fold, table
 
@@ -34,6 +37,7 @@ SAMPLE, TERMS = 20_000, 2_000
 #: Of the learned terms, so many of the strongest evidence count when misspelled; and longer words than this aren't misspellings.
 FUZZY, LONGEST = 60, 24
 WINDOW = 6
+COUNTED_AT_ONCE = 500
 STEM = range(4, 8)
 LEAST_TEXTS, LEAST_EVIDENCE = 4, 18.0
 #: Insults to start from, and words that mark report, negation and address.
@@ -41,6 +45,7 @@ INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clo
 REPORTING = frozenset("said says say called calls quoted quote wrote writes word words term terms insult insults dit appelé mot sagte nannte wort dijo llamó palabra".split())
 NEGATION = frozenset("not never no don't doesn't isn't pas jamais nicht kein nunca".split())
 ADDRESS = frozenset("you you're your u ur tu vous toi du dich ihr usted eres te".split())
+LETTERS = str.maketrans("0134578", "oieastb")  # digits written for letters
 QUOTES = "\"'“”„«»‘’`"
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -134,6 +139,8 @@ class Lexicon(dict):
         return found
 
     def _find(self, word: str) -> tuple[int, float] | None:
+        if not word.isalpha() and not word.isdigit():
+            word = word.translate(LETTERS)
         if word in self.terms:
             return 0, self.terms[word]
         for n in self.lengths:
@@ -145,8 +152,9 @@ class Lexicon(dict):
         for edits, trie, first, last, inner, sizes in self.tries:
             for n in sizes:
                 if m in first.get(word[:n], none) or m in last.get(word[-n:], none) or (inner and any(word[i : i + n] in inner for i in range(1, m - n))):
-                    if found := trie.within(word, edits):
-                        return 1, self.terms[found[0][1]]
+                    for _, term in trie.within(word, edits):
+                        if term[0] == word[0]:  # misspellings keep the first letter; words that merely end alike don't share it
+                            return 1, self.terms[term]
                     break
         return None
 
@@ -184,7 +192,7 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
 
 
 #: Weights where nothing is labelled.
-UNFITTED = np.array([-4.0, 3.0, 1.5, 1.0, 0.5, 1.0, -2.0, 0.5, 0.5])
+UNFITTED = np.array([-4.0, 3.0, 3.5, 1.0, 0.3, 1.0, -1.0, 0.5, 1.0])
 
 
 @dataclass
@@ -205,11 +213,19 @@ class Model:
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps, with a ridge on all weights but the first."""
-    w, keep = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(50):
+    """Logistic regression by Newton steps. A ridge draws all weights but the first to UNFITTED, so a kind of hit that the sample hardly shows keeps the weight it has without one."""
+    w, keep = UNFITTED.copy(), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (w - UNFITTED) @ keep @ (w - UNFITTED) / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(w)), x.T @ (y - p) - keep @ (w - UNFITTED))
+        now = cost(w)
+        while np.abs(step).max() > 1e-9 and cost(w + step) > now:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -236,14 +252,17 @@ def _marked(batches):
 
 
 def _counted(batches):
-    """Texts of each kind that hold a word or a beginning of a word, for a batch at a time."""
+    """Texts of each kind that hold a word or a beginning of a word, for some texts at a time."""
     for batch in batches:
-        counts: dict[str, Counter] = {"0": Counter(), "1": Counter()}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set(words_of(text))
-            counts[str(toxic)].update(own | {f"{w[:n]}*" for w in own for n in STEM if len(w) > n})
-        keys = [*counts["0"].keys() | counts["1"].keys()]
-        yield pa.record_batch({"key": pa.array(keys, pa.string()), "pos": pa.array([counts["1"][k] for k in keys], pa.int64()), "neg": pa.array([counts["0"][k] for k in keys], pa.int64())})
+        for at in range(0, batch.num_rows, COUNTED_AT_ONCE):
+            part = batch.slice(at, COUNTED_AT_ONCE)
+            counts = (Counter(), Counter())
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own = set(words_of(text))
+                counts[toxic].update(own)
+                counts[toxic].update({f"{w[:n]}*" for w in own for n in STEM if len(w) > n})
+            keys = [*counts[0].keys() | counts[1].keys()]
+            yield pa.record_batch({"key": pa.array(keys, pa.string()), "pos": pa.array([counts[1][k] for k in keys], pa.int64()), "neg": pa.array([counts[0][k] for k in keys], pa.int64())})
 
 
 def _featured(*lexicon_of):
@@ -282,7 +301,8 @@ def fit(labelled: DataFrame) -> Model:
     stems = {s: w for s, w in stems.items() if pos[f"{s}*"] > 1.3 * max((pos.get(t, 0) for t in terms if t.startswith(s)), default=0)}
     lengths = sorted({len(s) for s in stems})
     terms = {t: w for t, w in terms.items() if t in INSULTS or not any(t[:n] in stems for n in lengths)}
-    fuzzy = [*INSULTS, *[key for _, key, weight in found if key in terms and key not in INSULTS and weight >= 3][:FUZZY]]
+    strong = 0.8 * max((w for t, w in terms.items()), default=0.0)
+    fuzzy = [*INSULTS, *[key for _, key, weight in found if key in terms and key not in INSULTS and weight >= strong][:FUZZY]]
     got = sample.repartition(tasks).mapInArrow(_featured(terms, stems, fuzzy), "x array<double>, toxic int").collect()  # SAMPLE rows of FEATURES numbers at most
     return Model(terms, stems, fuzzy, fit_weights(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)))
 
@@ -301,20 +321,20 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
 
 
-def _flagged(model: Model, threshold: float):
-    def run(batches):
+def scorer(model: Model):
+    """A function of a text column that gives scores; only the text passes to Python and only the scores back."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = model.lexicon()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(model.scores(batch.column(1), lexicon) < threshold))
+        for texts in batches:
+            yield pd.Series(model.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, FEATURES)))
 
-    return run
+    return F.pandas_udf(run, DoubleType())
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score stays below the threshold."""
-    row = F.struct(*[docs[c] for c in docs.columns])
-    packed = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"))
-    return packed.mapInArrow(_flagged(model, threshold), packed.select("row").schema).select("row.*")
+    return docs.filter(scorer(model)(F.coalesce(F.col(text).cast("string"), F.lit(""))) < threshold)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, learn_from=None) -> DataFrame:

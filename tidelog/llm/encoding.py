@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidelog.llm.common import claim
+
 #: Pieces remembered by a worker; those that come when it is full are encoded again each time (about 130 MB at most).
 REMEMBERED = 600_000
 LONGEST = 64
@@ -155,11 +157,9 @@ def ended(flat: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, n
     return out, starts + n
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a tokenizer file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    kept = claim("encoding")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, filesystem, fold, fresh_dir, table
+from tidelog.llm.common import claim, documents, filesystem, fold, fresh_dir, table
 from tidelog.llm.words import hashed, mixed, words
 
 HEAD = 1 << 18
@@ -117,6 +117,7 @@ def _counts(bits: int):
         return pa.record_batch([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int64()), pa.array([packed(own) if kind else own.tobytes() for own in (keys[cuts[p] : cuts[p + 1]] for p in some)], pa.binary()), pa.array([counts[cuts[p] : cuts[p + 1]].astype("<u4").tobytes() for p in some], pa.binary())], schema=COUNTED)
 
     def run(batches):
+        claim("language_model")
         singles, pairs, held = [], [], 0
 
         def flush():
@@ -209,7 +210,8 @@ class Filter:
         """The filter of a folder of segments (part, bits), for a worker."""
         import pyarrow.dataset as ds
 
-        if folder not in _read:
+        kept = claim("language_model")
+        if folder not in kept:
             fs, path = filesystem(folder)
             parts: dict[int, bytes] = {}
             for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=4):
@@ -220,9 +222,10 @@ class Filter:
             for p, own in sorted(parts.items()):
                 bits[start[p] // 8 : (start[p] + size[p]) // 8] = np.frombuffer(parts[p], np.uint8)
                 parts[p] = b""
-            _read.clear()
-            _read[folder] = cls(bits, start, size, prefix)
-        return _read[folder]
+            for old in [f for f in kept if f != "owner"]:
+                del kept[old]
+            kept[folder] = cls(bits, start, size, prefix)
+        return kept[folder]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         q, alive, mark = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
@@ -233,9 +236,6 @@ class Filter:
         return q
 
 
-_read: dict[str, Filter] = {}
-
-
 @dataclass
 class Model:
     folder: str  # of the filter's segments

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, table
+from tidelog.llm.common import claim, documents, table
 from tidelog.llm.graph import components
 from tidelog.llm.words import hashed, mixed, words
 
@@ -106,6 +106,7 @@ def dense(sketch: np.ndarray) -> np.ndarray:
 
 def _sketches(width: int):
     def run(batches):
+        claim("minhash")
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for own in shingled(batch.column(2), width):
@@ -120,6 +121,7 @@ def _sketches(width: int):
 
 def _sets(width: int):
     def run(batches):
+        claim("minhash")
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
@@ -130,6 +132,7 @@ def _sets(width: int):
 
 def _sets32(width: int):
     def run(batches):
+        claim("minhash")
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))

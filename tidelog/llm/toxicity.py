@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelog.llm.common import documents, fold, table
+from tidelog.llm.common import claim, documents, fold, table
 
 #: Labelled rows that a model is fitted on, at most, and terms in the lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
@@ -241,6 +241,7 @@ def _evidence(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
 
 def _marked(batches):
     """Two least hashes of each text's three-word runs, which near copies mostly share."""
+    claim("toxicity")
     for batch in batches:
         keys: list[list[int]] = [[], []]
         for text in batch.column(0).to_pylist():
@@ -253,6 +254,7 @@ def _marked(batches):
 
 def _counted(batches):
     """Texts of each kind that hold a word or a beginning of a word, for some texts at a time."""
+    claim("toxicity")
     for batch in batches:
         for at in range(0, batch.num_rows, COUNTED_AT_ONCE):
             part = batch.slice(at, COUNTED_AT_ONCE)
@@ -325,6 +327,7 @@ def scorer(model: Model):
     """A function of a text column that gives scores; only the text passes to Python and only the scores back."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         lexicon = model.lexicon()
         for texts in batches:
             yield pd.Series(model.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, FEATURES)))

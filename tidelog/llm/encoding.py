@@ -135,8 +135,8 @@ class Encoder:
         of = coded.indices.to_numpy()
         length = sizes[of]
         ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-        at = np.repeat((np.cumsum(sizes, dtype=np.int64) - sizes)[of] - ends[:-1], length)
-        at += np.arange(ends[-1])
+        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[of] - ends[:-1]).astype(np.int32), length)
+        at += np.arange(ends[-1], dtype=np.int32)
         flat = ids[at]
         starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         over = len(known) - REMEMBERED

@@ -35,7 +35,7 @@ from tidelog.llm.words import hashed, mixed, words
 HEAD = 1 << 18
 BASE, HASHES, BITS, MOST_BYTES = 1.5, 4, 10, 96 << 20
 MIX, SPREAD = 0.6, 0.8
-FLUSH_TOKENS, DOCS_AT_ONCE = 2_500_000, 2_000
+FLUSH_TOKENS, DOCS_AT_ONCE = 2_000_000, 1_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 

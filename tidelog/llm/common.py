@@ -76,12 +76,20 @@ def filesystem(uri: str):
 _held: dict = {"owner": None}
 
 
+def give_back() -> None:
+    """Returns what this Python worker's allocators hold without need. Workers stay between tasks; what they hold then counts against the executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def claim(owner: str) -> dict:
     """What this Python worker keeps from task to task for an operator. Workers serve one operator after the other: the first task of another one drops what was kept, and gives the memory back."""
     if _held["owner"] != owner:
         _held.clear()
         _held["owner"] = owner
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     return _held

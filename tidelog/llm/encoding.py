@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from tidelog.llm.common import claim
 
-#: Pieces remembered by a worker; those that come when it is full are encoded again each time (about 130 MB at most).
-REMEMBERED = 600_000
+#: Pieces remembered by a worker; those that come when it is full are encoded again each time (about 90 MB at most).
+REMEMBERED = 400_000
 LONGEST = 64
 #: Pieces of letters in one call of the library.
 CHUNK = 200

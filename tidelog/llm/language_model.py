@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, documents, filesystem, fold, fresh_dir, table
+from tidelog.llm.common import claim, documents, filesystem, fold, fresh_dir, give_back, table
 from tidelog.llm.words import hashed, mixed, words
 
 HEAD = 1 << 18
@@ -138,6 +138,7 @@ def _counts(bits: int):
                     singles, pairs, held = [], [], 0
         if held:
             yield from flush()
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, documents, table
+from tidelog.llm.common import claim, documents, give_back, table
 from tidelog.llm.graph import components
 from tidelog.llm.words import hashed, mixed, words
 
@@ -115,6 +115,7 @@ def _sketches(width: int):
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
             yield pa.record_batch({"doc_id": batch.column(0), "tkey": batch.column(1), "n_shingles": pa.array(rows[0], pa.int64()), "cls": pa.array(rows[1], pa.int64()), "sketch": pa.array(rows[2], pa.binary()), "dense": pa.array(rows[3], pa.binary())})
+        give_back()
 
     return run
 
@@ -126,6 +127,7 @@ def _sets(width: int):
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
                 yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
+        give_back()
 
     return run
 
@@ -137,6 +139,7 @@ def _sets32(width: int):
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
                 yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members_of": pa.array([(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in own], pa.binary())})
+        give_back()
 
     return run
 
@@ -165,6 +168,7 @@ def _near(similarity: float):
         for batch in batches:
             ok = may_reach(similarity, _matrix(batch.column("sketch_x")), _matrix(batch.column("sketch_y")), batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy())
             yield batch.select(["x", "y", "n_x", "n_y"]).filter(pa.array(ok))
+        give_back()
 
     return run
 
@@ -313,8 +317,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     """The rows of docs, all columns, without near copies: of each component one row of the least doc_id (then least hash of the text); every row without shingles stays."""
     found = near_duplicates(docs, width, percent, doc_id, text)
     first = found.filter("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("first")).select(F.col("first.doc_id").alias("__doc"), F.col("first.tkey").alias("__tkey"))
-    bare = docs.filter(F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0)
-    keyed = docs.filter(F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) > 0).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(doc_id).cast("long").alias("__doc"), F.xxhash64(F.col(text)).alias("__tkey"))
+    worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = docs.filter(~worded)
+    keyed = docs.filter(worded).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(doc_id).cast("long").alias("__doc"), F.xxhash64(F.col(text)).alias("__tkey"))
     same = (keyed["__tkey"] == first["__tkey"]) & keyed["__doc"].eqNullSafe(first["__doc"])
     kept = keyed.join(first, same, "left_semi").groupBy("__doc", "__tkey").agg(F.first("__row").alias("__row")).select("__row.*")
     return kept.unionByName(bare)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, table
+from tidelog.llm.common import documents, give_back, table
 from tidelog.llm.encoding import ended, encoder
 
 #: Remainders of about so many tokens and pieces are packed together.
@@ -101,6 +101,7 @@ def _cut(tokenizer: str, window: int, end: int):
                 columns = [np.arange(piece, piece + len(doc)), part.column(0).take(pa.array(doc)), start, length, totals[doc], own]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
                 piece += len(doc)
+        give_back()
 
     return run
 

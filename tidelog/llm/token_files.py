@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, filesystem, fresh_dir, table
+from tidelog.llm.common import documents, filesystem, fresh_dir, give_back, table
 from tidelog.llm.encoding import ended, encoder
 
 MAGIC, VERSION = b"TLEF", 1
@@ -148,6 +148,7 @@ def _writes(tokenizer: str, folder: str, end: int):
                 out = out or Writer(path, width)
                 ids, starts = ended(*enc.encode(part.column(1)), end)
                 out.add(part.column(0).to_pylist(), ids, starts)
+        give_back()
         if out:
             out.close()
             yield pa.record_batch({"shard": pa.array([shard], pa.int64()), "path": pa.array([path]), "documents": pa.array([len(out.ids)], pa.int64()), "tokens": pa.array([out.total], pa.int64())})

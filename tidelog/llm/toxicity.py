@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidelog.llm.common import claim, documents, fold, table
+from tidelog.llm.common import claim, documents, fold, give_back, table
 
 #: Labelled rows that a model is fitted on, at most, and terms in the lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
@@ -265,6 +265,7 @@ def _counted(batches):
                 counts[toxic].update({f"{w[:n]}*" for w in own for n in STEM if len(w) > n})
             keys = [*counts[0].keys() | counts[1].keys()]
             yield pa.record_batch({"key": pa.array(keys, pa.string()), "pos": pa.array([counts[1][k] for k in keys], pa.int64()), "neg": pa.array([counts[0][k] for k in keys], pa.int64())})
+    give_back()
 
 
 def _featured(*lexicon_of):
@@ -331,6 +332,8 @@ def scorer(model: Model):
         lexicon = model.lexicon()
         for texts in batches:
             yield pd.Series(model.score(np.array([features(t, lexicon) for t in texts]).reshape(-1, FEATURES)))
+        lexicon.clear()
+        give_back()
 
     return F.pandas_udf(run, DoubleType())
 

@@ -24,7 +24,7 @@ from tidelog.llm.encoding import ended, encoder
 
 #: Remainders of about so many tokens and pieces are packed together.
 GROUP_TOKENS, GROUP_PIECES = 4_000_000, 200_000
-ENCODED_AT_ONCE = 2_000
+ENCODED_AT_ONCE = 3_000
 
 
 class CapacityTree:

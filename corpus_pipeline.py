@@ -43,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens; a repeated document has pieces for each copy."""
     import public_tokenizers
 
-    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), at_once=500, remembered=100_000)  # after three stages, workers have less room
     return packed.rows("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -47,7 +47,8 @@ def _mode(path: str) -> str:
 class Encoder:
     """Encodes batches of texts; a null counts as empty."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.most = REMEMBERED if remembered is None else remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -139,7 +140,7 @@ class Encoder:
         at += np.arange(ends[-1], dtype=np.int32)
         flat = ids[at]
         starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        over = len(known) - REMEMBERED
+        over = len(known) - self.most
         for n, piece in enumerate(list(itertools.islice(reversed(known), len(known) - before))):  # newest first
             if n < over or len(piece) > LONGEST:
                 del known[piece]
@@ -157,9 +158,9 @@ def ended(flat: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, n
     return out, starts + n
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """This worker's encoder of a tokenizer file."""
     kept = claim("encoding")
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, remembered)
     return kept[path]

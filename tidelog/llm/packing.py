@@ -82,15 +82,15 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 PIECES = pa.schema([("piece_id", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _cut(tokenizer: str, window: int, end: int):
+def _cut(tokenizer: str, window: int, end: int, at_once: int, remembered: int | None):
     def run(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         piece = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
-                part = batch.slice(at, ENCODED_AT_ONCE)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 ids, starts = ended(*enc.encode(part.column(1)), end)
                 totals = np.diff(starts)
                 counts = -(-totals // window)
@@ -134,9 +134,9 @@ class Packed:
         return self.rows().groupBy("sequence_id").agg(own.alias("own")).select("sequence_id", F.aggregate("own", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("used"), F.col("own.doc_id").alias("doc_ids"), F.col("own.length").alias("lengths"))
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> Packed:
-    """Packs all docs into windows. tokenizer: a file of the tokenizers library. A full window gets a sequence of its own."""
-    pieces = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(tokenizer, window, end), "piece_id long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", at_once: int = ENCODED_AT_ONCE, remembered: int | None = None) -> Packed:
+    """Packs all docs into windows. tokenizer: a file of the tokenizers library. A full window gets a sequence of its own. at_once, remembered: texts encoded together and pieces that a worker remembers; fewer take less memory and more time, and give the same ids."""
+    pieces = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(tokenizer, window, end, at_once, remembered), "piece_id long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
     tails = pieces.filter(F.col("length") < window).select("piece_id", "length")
     rows, tokens = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, math.ceil(rows / GROUP_PIECES), math.ceil(tokens / GROUP_TOKENS))

@@ -74,6 +74,16 @@ def test_scores_against_plain_counts(spark, monkeypatch, head):
         assert sum(a[5] for a in have if a[6]) > sum(a[4] for a in have if a[6])
 
 
+def test_no_ngram_is_left_out_whatever_the_size(spark, monkeypatch):
+    df, held = awkward(spark, [(i, f"pair{i % 90} other{i % 70} word{i % 11} again{i}") for i in range(300)]), fold("doc_id", 7) == 2
+    of = lambda: sorted((r["doc_id"], r["n_known"], round(r["score"], 9)) for r in lm.score(df, lm.learn(df.filter(~held)), held).collect())
+    monkeypatch.setattr(lm, "HEAD", 3)
+    whole = of()
+    for name, value in (("MOST_BYTES", 256), ("ASKED_TOKENS", 40), ("DOCS_AT_ONCE", 7)):  # a cap that is gone, and segments asked many times
+        monkeypatch.setattr(lm, name, value, raising=False)
+    assert of() == whole
+
+
 def test_long_text_and_nothing(spark):
     df = awkward(spark)
     long = [r for r in lm.score(df, lm.learn(df), fold("doc_id", 7) == 2).collect() if r["doc_id"] == 5]

@@ -3,9 +3,9 @@
 Learning counts the words and the pairs of neighbouring words of all training texts exactly: tasks count what they read, the counts are dealt by
 the n-gram's hash and added up. A count c is quantised to q = 1 + floor(log c / log BASE), and the filter holds the n-gram
 with each of the marks 1 to q. Asking for mark 1, 2, ... until one is missing gives q back, never too small, and too large only where
-all HASHES bits of the next mark happen to be set. The filter is made of segments by hash prefix, each built by one task, and goes whole to
-every worker, which reads it once from the shared folder (the driver never holds it). It takes BITS bits a mark and MOST_BYTES at most; where the marks of all n-grams would need more, those of the lowest q are left
-out, as many levels as it takes, and the scores fall back on shorter n-grams for them.
+all HASHES bits of the next mark happen to be set. The filter takes BITS bits a mark, whatever their number, and leaves no n-gram out. It is made of
+segments by hash prefix, each built by one task, in the shared folder. No process holds it whole: a task gathers the n-grams of ASKED_TOKENS tokens,
+and reads the segments one after the other to ask each for those of its prefix.
 
 A text's score is the sum over its words, and one end, of log10 of MIX * pair + (1 - MIX) * word, where
     word(w)    = (c(w) + 1) / (N + V + 1)
@@ -33,9 +33,9 @@ from tidelog.llm.common import claim, documents, filesystem, fold, fresh_dir, gi
 from tidelog.llm.words import hashed, mixed, words
 
 HEAD = 1 << 18
-BASE, HASHES, BITS, MOST_BYTES = 1.5, 4, 10, 96 << 20
+BASE, HASHES, BITS = 1.5, 4, 10
 MIX, SPREAD = 0.6, 0.8
-FLUSH_TOKENS, DOCS_AT_ONCE = 2_000_000, 1_000
+FLUSH_TOKENS, ASKED_TOKENS, DOCS_AT_ONCE = 2_000_000, 4_000_000, 1_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 _ONE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -153,7 +153,7 @@ def _levels_of(prefix: int):
         part = group.column("part")[0].as_py()
         keys, counts = added(unpacked(b"".join(group.column("keys").to_pylist()), part, prefix), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64))
         q = level(counts)
-        return pa.table({"part": pa.array([part], pa.int64()), "keys": pa.array([packed(keys)], pa.binary()), "q": pa.array([q.tobytes()], pa.binary()), "of_level": pa.array([np.bincount(q, minlength=256).tolist()], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([part], pa.int64()), "keys": pa.array([packed(keys)], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
 
     return run
 
@@ -163,7 +163,7 @@ def places(keys: np.ndarray, mark: int, n: int, size: np.ndarray | int) -> np.nd
     return (mixed(keys + np.uint64((0x632BE59BD9B4E019 * mark + 0xD1342543DE82EF95 * (n + 1)) & (1 << 64) - 1)) % np.asarray(size, np.uint64)).astype(np.int64)
 
 
-def segment(keys: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
+def segment(keys: np.ndarray, q: np.ndarray, least: int = 1) -> np.ndarray:
     """The bits, in bytes, of the keys of level least or more."""
     keys, q = keys[q >= least], q[q >= least]
     size = max(64, -(-int(q.sum(dtype=np.int64)) * BITS // 64) * 64)
@@ -175,18 +175,18 @@ def segment(keys: np.ndarray, q: np.ndarray, least: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _segments(least: int, prefix: int):
+def _segments(prefix: int):
     def run(batches):
         for batch in batches:
             for part, keys, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                yield pa.record_batch({"part": pa.array([part], pa.int64()), "bits": pa.array([segment(unpacked(keys, part, prefix), np.frombuffer(q, np.uint8), least).tobytes()], pa.binary())})
+                yield pa.record_batch({"part": pa.array([part], pa.int64()), "bits": pa.array([segment(unpacked(keys, part, prefix), np.frombuffer(q, np.uint8)).tobytes()], pa.binary())})
 
     return run
 
 
 @dataclass
 class Filter:
-    """bits: the segments one after the other; start, size: of each segment, in bits; prefix: of the keys' bits, how many name the segment."""
+    """Some segments. bits: one after the other; start, size: of each segment, in bits; prefix: of the keys' bits, how many name the segment."""
 
     bits: np.ndarray
     start: np.ndarray
@@ -206,28 +206,6 @@ class Filter:
         out[alive] = True
         return out
 
-    @classmethod
-    def read(cls, folder: str, prefix: int) -> Filter:
-        """The filter of a folder of segments (part, bits), for a worker."""
-        import pyarrow.dataset as ds
-
-        kept = claim("language_model")
-        if folder not in kept:
-            fs, path = filesystem(folder)
-            parts: dict[int, bytes] = {}
-            for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=4):
-                parts.update(zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True))
-            size = np.array([8 * len(parts.get(p, b"")) for p in range(1 << prefix)], np.int64)
-            bits = np.empty(int(size.sum()) // 8, np.uint8)
-            start = np.cumsum(size) - size
-            for p, own in sorted(parts.items()):
-                bits[start[p] // 8 : (start[p] + size[p]) // 8] = np.frombuffer(parts[p], np.uint8)
-                parts[p] = b""
-            for old in [f for f in kept if f != "owner"]:
-                del kept[old]
-            kept[folder] = cls(bits, start, size, prefix)
-        return kept[folder]
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         q, alive, mark = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 1
         while len(alive) and mark < 255:
@@ -237,6 +215,25 @@ class Filter:
         return q
 
 
+def found(folder: str, prefix: int, keys: np.ndarray) -> np.ndarray:
+    """The levels of keys by the filter of a folder of segments (part, bits), read one after the other."""
+    import pyarrow.dataset as ds
+
+    fs, path = filesystem(folder)
+    keys = short(keys, prefix)
+    order = np.argsort(keys)
+    keys, q = keys[order], np.zeros(len(keys), np.uint8)
+    cuts = np.searchsorted(keys >> np.uint64(64 - prefix), np.arange((1 << prefix) + 1, dtype=np.uint64))
+    for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=1, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits"), strict=True):
+            own, size = slice(cuts[part], cuts[part + 1]), np.zeros(1 << prefix, np.int64)
+            size[part] = 8 * len(bits.as_buffer())
+            q[own] = Filter(np.frombuffer(bits.as_buffer(), np.uint8), np.zeros_like(size), size, prefix).levels(keys[own])
+    out = np.empty_like(q)
+    out[order] = q
+    return out
+
+
 @dataclass
 class Model:
     folder: str  # of the filter's segments
@@ -262,16 +259,10 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
     bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))
     counted = table(rows.mapInArrow(_counts(bits), "kind int, part long, keys binary, counts binary"), "counts")
     vocabulary = table(counted.filter("kind = 0").groupBy("part").applyInArrow(_words_of, "h long, c long"), "vocabulary")
-    leveled = table(counted.filter("kind = 1").groupBy("part").applyInArrow(_levels_of(bits), "part long, keys binary, q binary, of_level array<long>"), "levels")
+    leveled = table(counted.filter("kind = 1").groupBy("part").applyInArrow(_levels_of(bits), "part long, keys binary, q binary"), "levels")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    of_level = leveled.select(F.posexplode("of_level").alias("q", "n")).groupBy("q").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    least, marks = 256, 0
-    for r in sorted(of_level, key=lambda r: -r["q"]):
-        marks += r["q"] * r["n"]
-        if r["q"] and marks * BITS <= 8 * MOST_BYTES:
-            least = r["q"]
     folder = fresh_dir(spark, "filter")
-    leveled.select("part", "keys", "q").mapInArrow(_segments(least, bits), "part long, bits binary").write.option("compression", "none").parquet(folder)
+    leveled.select("part", "keys", "q").mapInArrow(_segments(bits), "part long, bits binary").write.option("compression", "none").parquet(folder)
     top = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()  # HEAD rows
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(h)
@@ -281,35 +272,70 @@ def learn(texts: DataFrame, text: str = "text") -> Model:
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, rare array<long>, times array<int>"
 
 
+@dataclass
+class Asked:
+    """Some texts (doc_id, held_out) and the n-grams to look for: the rare words, then the distinct pairs."""
+
+    rows: pa.RecordBatch
+    h: np.ndarray
+    token: np.ndarray
+    starts: np.ndarray
+    exact: np.ndarray
+    keys: np.ndarray
+    pair: np.ndarray  # of each token, the place of its pair among the pairs
+
+    @classmethod
+    def of(cls, part: pa.RecordBatch, model: Model) -> Asked:
+        h, token, starts = tokens(part.column(2))
+        exact = model.exact(h)
+        pairs, pair = np.unique(pair_key(h[before(token, starts, len(h) - 1)], h[token]), return_inverse=True)
+        return cls(part.select([0, 1]), h, token.astype(np.int32), starts, exact, np.concatenate([word_key(h[exact < 0]), pairs]), pair.astype(np.int32))
+
+    def scored(self, levels: np.ndarray, uid: int, total: int) -> pa.RecordBatch:
+        h, token, starts, exact, n = self.h, self.token, self.starts, self.exact, self.rows.num_rows
+        rare = exact < 0
+        q = np.zeros(len(h), np.uint8)
+        q[rare], of_pair = np.split(levels, [np.count_nonzero(rare)])
+        low, high = np.where(rare, least_of(q), exact), np.where(rare, most_of(q), exact)
+        single = (low + 1) / total
+        spread = np.maximum(high, 1.0) ** SPREAD
+        history = before(token, starts, len(h) - 1)
+        pair = (least_of(of_pair[self.pair]) + spread[history] * single[token]) / (high[history] + spread[history])
+        score = np.add.reduceat(np.log10(MIX * pair + (1 - MIX) * single[token]), starts[:-1])
+        common = np.log10(single) * ~rare
+        doc = np.repeat(np.arange(n), np.diff(starts))
+        of_rare = rare[token]
+        packed, times = np.unique(doc[of_rare] * len(h) + token[of_rare], return_counts=True)
+        offsets = pa.array(np.searchsorted(packed // len(h), np.arange(n + 1)), pa.int32())
+        return pa.record_batch({"uid": pa.array(np.arange(uid, uid + n)), "doc_id": self.rows.column(0), "held_out": self.rows.column(1), "n_tokens": pa.array(np.diff(starts).astype(np.int64)), "head_known": pa.array(np.add.reduceat((exact > 0)[token].astype(np.int64), starts[:-1])), "head_base": pa.array(np.add.reduceat(common[token], starts[:-1])), "score": pa.array(score), "rare": pa.ListArray.from_arrays(offsets, pa.array(h[packed % len(h)].view(np.int64))), "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))})
+
+
 def _scores(shared):
     def run(batches):
         from pyspark import TaskContext
 
-        model = shared.value
-        bloom = Filter.read(model.folder, model.prefix)
+        claim("language_model")
+        model, held, n = shared.value, [], 0
         uid, total = TaskContext.get().partitionId() << 36, model.n + model.v + 1
+
+        def flush():
+            nonlocal uid
+            levels, at = found(model.folder, model.prefix, np.concatenate([a.keys for a in held])), 0
+            for asked in held:
+                yield asked.scored(levels[at : at + len(asked.keys)], uid, total)
+                at += len(asked.keys)
+                uid += asked.rows.num_rows
+
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                h, token, starts = tokens(part.column(2))
-                exact = model.exact(h)
-                rare = exact < 0
-                q = np.zeros(len(h), np.uint8)
-                q[rare] = bloom.levels(word_key(h[rare]))
-                low, high = np.where(rare, least_of(q), exact), np.where(rare, most_of(q), exact)
-                single = (low + 1) / total
-                spread = np.maximum(high, 1.0) ** SPREAD
-                history = before(token, starts, len(h) - 1)
-                seen = least_of(bloom.levels(pair_key(h[history], h[token])))
-                pair = (seen + spread[history] * single[token]) / (high[history] + spread[history])
-                score = np.add.reduceat(np.log10(MIX * pair + (1 - MIX) * single[token]), starts[:-1])
-                common = np.log10(single) * ~rare
-                doc = np.repeat(np.arange(part.num_rows), np.diff(starts))
-                of_rare = rare[token]
-                packed, times = np.unique(doc[of_rare] * len(h) + token[of_rare], return_counts=True)
-                offsets = pa.array(np.searchsorted(packed // len(h), np.arange(part.num_rows + 1)), pa.int32())
-                yield pa.record_batch({"uid": pa.array(np.arange(uid, uid + part.num_rows)), "doc_id": part.column(0), "held_out": part.column(1), "n_tokens": pa.array(np.diff(starts).astype(np.int64)), "head_known": pa.array(np.add.reduceat((exact > 0)[token].astype(np.int64), starts[:-1])), "head_base": pa.array(np.add.reduceat(common[token], starts[:-1])), "score": pa.array(score), "rare": pa.ListArray.from_arrays(offsets, pa.array(h[packed % len(h)].view(np.int64))), "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))})
-                uid += part.num_rows
+                held.append(Asked.of(batch.slice(at, DOCS_AT_ONCE), model))
+                n += len(held[-1].token)
+                if n >= ASKED_TOKENS:
+                    yield from flush()
+                    held, n = [], 0
+        if held:
+            yield from flush()
+        give_back()
 
     return run
 

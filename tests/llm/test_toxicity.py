@@ -44,6 +44,35 @@ def test_filter_loses_no_misspelling():
     assert lexicon["window"] is None and lexicon["idi0t"] == lexicon["1d1ot"] == (0, 1.0) and lexicon["idito"] is None and lexicon["idiott"] == (1, 1.0) and lexicon["idiot"] == (0, 1.0)
 
 
+def test_first_letters_and_marks_are_not_lost():
+    lexicon = t.Lexicon({w: 1.0 for w in t.INSULTS}, {}, t.INSULTS, frozenset(["poser"]))
+    rng = random.Random(4)
+    for term in t.INSULTS:
+        for _ in range(60):
+            word = list(term)
+            for _ in range(t.allowed(term)):
+                at = rng.randrange(len(word))
+                word[at : at + 1] = rng.choice([[], [rng.choice("xyz0")], [word[at], rng.choice("xyz0")]])
+            if 3 < len(word):
+                assert lexicon["".join(word)] is not None, (term, word)
+    assert lexicon["xidiot"] == lexicon["ztupid"] == lexicon["diot"] == (3, 1.0) and lexicon["poser"] is None
+    for text in ("you id!ot", "you st*pid man", "@sshole!", "an i.d.i.o.t here", "$tupid", "such a dumba$$", "s-t-u-p-i-d", "!diot"):
+        assert t.features(text, lexicon)[1:4].sum() + t.features(text, lexicon)[9] > 0, text
+    for text in ("a well-known fact. next", "mail some.one@host.example now", "you! are + fine", "snake_case stu-pit", "wait...what", "!!! @@ $5 -"):
+        assert not t.features(text, lexicon)[1:].any(), text
+    cited = t.features('the word "id!ot" here', lexicon)
+    assert cited[6] == 1 and t.words_of("id!ot") == ["id", "ot"]
+
+
+def test_misspellings_of_all_learned_terms_count(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = [(" ".join(word() for _ in range(30)) + (" vermin" if i % 4 == 0 else " german" if i % 4 == 1 else "") + (" parasite" if i % 8 == 0 or i == 1 else ""), int(i % 4 == 0)) for i in range(400)]
+    model = t.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = model.lexicon()
+    assert {"vermin", "parasite"} <= set(model.terms) and lexicon["vermiin"][0] == lexicon["parasote"][0] == 1 and lexicon["german"] is None
+
+
 def test_quotation_counts_less():
     lexicon = t.Lexicon({"idiot": 3.0}, {}, ["idiot"])
     abuse, cited, clean = (t.features(x, lexicon) for x in ("you are an idiot", 'the word "idiot" was quoted', "you are fine"))

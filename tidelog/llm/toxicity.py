@@ -3,7 +3,8 @@
 Lexicon: terms (words) and stems (beginnings of words) that labelled toxic texts hold far more often than others, learned from
 the labelled rows given, with a short list of common insults in English, French, German and Spanish to start from. The terms stand in a trie. Each
 distinct word that shares enough letters with some term is turned into a Levenshtein automaton, which runs over the trie: both are followed together, a
-branch ends when the automaton has no state left, and every term within the allowed distance is found in one walk.
+branch ends when the automaton has no state left, and every term within the allowed distance is found in one walk. Misspellings of all terms count; those
+with another first letter have a weight of their own, and words that clean texts hold are none. Marks inside a word ('id!ot', 'st*pid') are read as letters or left out.
 
 Context: of each hit, the WINDOW words on either side tell quotation and report (quotation marks, words of saying, negation)
 from abuse (address to a person, more hits nearby). A logistic regression on a few sums over the hits of a text, fitted on a bounded
@@ -34,12 +35,12 @@ from tidelog.llm.common import claim, documents, fold, give_back, table
 
 #: Labelled rows that a model is fitted on, at most, and terms in the lexicon, at most.
 SAMPLE, TERMS = 20_000, 2_000
-#: Of the learned terms, so many of the strongest evidence count when misspelled; and longer words than this aren't misspellings.
-FUZZY, LONGEST = 60, 24
+#: Longer words than this aren't misspellings.
+LONGEST = 24
 WINDOW = 6
 COUNTED_AT_ONCE = 500
 STEM = range(4, 8)
-LEAST_TEXTS, LEAST_EVIDENCE = 4, 18.0
+LEAST_TEXTS, LEAST_CLEAN, LEAST_EVIDENCE = 4, 2, 18.0
 #: Insults to start from, and words that mark report, negation and address.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumbass bastard asshole bitch idiota estúpido imbécil basura connard salaud abruti crétin ordure idiotin dummkopf arschloch abschaum dreckskerl".split()
 REPORTING = frozenset("said says say called calls quoted quote wrote writes word words term terms insult insults dit appelé mot sagte nannte wort dijo llamó palabra".split())
@@ -48,6 +49,11 @@ ADDRESS = frozenset("you you're your u ur tu vous toi du dich ihr usted eres te"
 LETTERS = str.maketrans("0134578", "oieastb")  # digits written for letters
 QUOTES = "\"'“”„«»‘’`"
 
+#: Marks written for letters or put between them.
+MARKS = str.maketrans("!|@$+", "iiast", "*#~_.-")
+_SOFT = re.compile(r"[_.\-'’]*[^\W_]+(?:[_.\-'’]+[^\W_]+)*[_.\-'’]*")
+_MARK = re.compile(r"[!|@$+*#~_.\-](?=[^\W_])|[^\W_][!|@$+](?=[!|@$+])")
+_RUN = re.compile(r"[!|@$+*#~_.\-]*[^\W_]++(?:(?:['’]|[!|@$+*#~_.\-]++)[^\W_]++)*[!|@$+]*")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -109,14 +115,14 @@ class Trie:
 
 
 class Lexicon(dict):
-    """self[word]: (kind, weight) of the best term; kind 0 is the term itself, 1 a misspelling, 2 a stem; None if there is none. Remembers the words that it has seen, up to a bound.
-    fuzzy: the terms whose misspellings count."""
+    """self[word]: (kind, weight) of the best term; kind 0 is the term itself, 1 a misspelling, 2 a stem, 3 a misspelling with another first letter; None if there is none. Remembers the words that it has seen, up to a bound.
+    fuzzy: the terms whose misspellings count; clean: words that are no misspellings, as clean texts hold them."""
 
     MOST = 150_000
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: list[str], clean: frozenset[str] = frozenset()):
         super().__init__()
-        self.terms, self.stems = terms, stems
+        self.terms, self.stems, self.clean = terms, stems, clean
         self.lengths = sorted({len(s) for s in stems})
         self.tries = [(k, Trie(own), *self._parts(own, k)) for k in (1, 2) if (own := [t for t in fuzzy if allowed(t) == k])]
 
@@ -135,9 +141,18 @@ class Lexicon(dict):
     def __missing__(self, word: str) -> tuple[int, float] | None:
         if len(self) >= self.MOST:
             self.clear()
-        found = self[word] = self._find(word)
+        found = self[word] = self._marked(word) if _MARK.search(word) or word[-1:] in "!|@$+" else self._find(word)
         return found
 
+    def _marked(self, run: str) -> tuple[int, float] | None:
+        """The match of a word with marks in it: with outer marks left out or read as letters too. Points, dashes and lines also join words, so between letters they count only where the term itself comes out."""
+        soft = _SOFT.fullmatch(run)
+        for own in dict.fromkeys((run.strip("!|+*#~_.-"), run.lstrip("!|+*#~_.-"), run)):
+            found = self._find(own.translate(MARKS).replace("'", "").replace("’", ""))
+            if found and (found[0] == 0 or not soft):
+                return found
+        return None
+
     def _find(self, word: str) -> tuple[int, float] | None:
         if not word.isalpha() and not word.isdigit():
             word = word.translate(LETTERS)
@@ -147,34 +162,52 @@ class Lexicon(dict):
             if (w := self.stems.get(word[:n])) is not None:
                 return 2, w
         m, none = len(word), ()
-        if not 3 < m <= LONGEST:
+        if not 3 < m <= LONGEST or word in self.clean:
             return None
+        other = None
         for edits, trie, first, last, inner, sizes in self.tries:
             for n in sizes:
                 if m in first.get(word[:n], none) or m in last.get(word[-n:], none) or (inner and any(word[i : i + n] in inner for i in range(1, m - n))):
                     for _, term in trie.within(word, edits):
-                        if term[0] == word[0]:  # misspellings keep the first letter; words that merely end alike don't share it
+                        if term[0] == word[0]:
                             return 1, self.terms[term]
+                        other = other or (3, self.terms[term])  # words that merely end alike are among these
                     break
-        return None
+        return other
+
+
+def joined(lower: str, lexicon: Lexicon) -> list[tuple[str, int]]:
+    """The words of a text in lower case and their places; words with marks in them that match the lexicon as a whole, and no part of them alone, are one word."""
+    out = []
+    for m in _RUN.finditer(lower):
+        run, at = m[0], m.start()
+        if run.isalnum():
+            out.append((run, at))
+            continue
+        parts = [(p[0], at + p.start()) for p in _WORD.finditer(run)]
+        if parts[0][0] != run and not any(lexicon[p] for p, _ in parts) and lexicon[run]:
+            parts = [(run, at)]
+        out += parts
+    return out
 
 
-FEATURES = 9
+FEATURES = 10
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Sums over the hits of a text: 1, terms, misspellings, stems (each in log), the best weight, share of words, quoted or reported, addressed or clustered, and different terms."""
+    """Sums over the hits of a text: 1, terms, misspellings, stems (each in log), the best weight, share of words, quoted or reported, addressed or clustered, different terms, and misspellings with another first letter (in log)."""
     out = np.zeros(FEATURES)
     out[0] = 1
-    words = words_of(text)
+    lower = (text or "").lower()
+    placed = joined(lower, lexicon) if _MARK.search(lower) else None
+    words = words_of(text) if placed is None else [w for w, _ in placed]
     matches = list(map(lexicon.__getitem__, words))
     if not any(matches):
         return out
     hits = [(i, m) for i, m in enumerate(matches) if m]
-    counts, quoted, pointed, kinds = [0.0, 0.0, 0.0], 0.0, 0.0, set()
-    at = [m.start() for m in _WORD.finditer(text.lower())] if any(q in text for q in QUOTES) else None
+    counts, quoted, pointed, kinds = [0.0, 0.0, 0.0, 0.0], 0.0, 0.0, set()
+    at = None if not any(q in text for q in QUOTES) else [m.start() for m in _WORD.finditer(lower)] if placed is None else [i for _, i in placed]
     places = [i for i, _ in hits]
-    lower = text.lower() if at else ""
     for n, (i, (kind, _)) in enumerate(hits):
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         cited = any(w in REPORTING or w in NEGATION for w in near)
@@ -187,12 +220,12 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
         pointed += close or any(w in ADDRESS for w in near)
         kinds.add(words[i])
     total = len(hits)
-    out[1:] = [*(math.log1p(c) for c in counts), max(w for _, (_, w) in hits), math.sqrt(total / len(words)), quoted / total, pointed / total, math.log1p(len(kinds))]
+    out[1:] = [*(math.log1p(c) for c in counts[:3]), max(w for _, (_, w) in hits), math.sqrt(total / len(words)), quoted / total, pointed / total, math.log1p(len(kinds)), math.log1p(counts[3])]
     return out
 
 
 #: Weights where nothing is labelled.
-UNFITTED = np.array([-4.0, 3.0, 3.5, 1.0, 0.3, 1.0, -1.0, 0.5, 1.0])
+UNFITTED = np.array([-4.0, 3.0, 3.5, 1.0, 0.3, 1.0, -1.0, 0.5, 1.0, 2.0])
 
 
 @dataclass
@@ -201,9 +234,10 @@ class Model:
     stems: dict[str, float]
     fuzzy: list[str]
     weights: np.ndarray
+    clean: frozenset[str] = frozenset()
 
     def lexicon(self) -> Lexicon:
-        return Lexicon(self.terms, self.stems, self.fuzzy)
+        return Lexicon(self.terms, self.stems, self.fuzzy, self.clean)
 
     def scores(self, texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         return self.score(np.array([features(t.as_py(), lexicon) for t in texts]).reshape(-1, FEATURES))
@@ -268,6 +302,17 @@ def _counted(batches):
     give_back()
 
 
+def _matching(*lexicon_of):
+    """Of words, those that would count as misspellings."""
+
+    def run(batches):
+        lexicon = Lexicon(*lexicon_of)
+        for batch in batches:
+            yield pa.record_batch({"key": pa.array([w for w in batch.column(0).to_pylist() if (found := lexicon[w]) and found[0] in (1, 3)], pa.string())})
+
+    return run
+
+
 def _featured(*lexicon_of):
     def run(batches):
         lexicon = Lexicon(*lexicon_of)
@@ -290,7 +335,7 @@ def fit(labelled: DataFrame) -> Model:
     terms, stems = {t: 2.0 for t in INSULTS}, {}
     if not all_pos or not all_neg:
         return Model(terms, stems, INSULTS, UNFITTED)
-    counts = sample.repartition(tasks).mapInArrow(_counted, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = table(sample.repartition(tasks).mapInArrow(_counted, "key string, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "counts")
     likely = counts.filter((F.col("pos") >= LEAST_TEXTS) & (F.col("pos") * all_neg > 4 * F.col("neg") * all_pos)).orderBy(F.desc("pos"), "neg", "key").limit(10 * TERMS).collect()
     found = sorted(((_evidence(r["pos"], r["neg"], all_pos, all_neg), r["key"], math.log((r["pos"] + 0.5) / (all_pos + 1)) - math.log((r["neg"] + 0.5) / (all_neg + 1))) for r in likely), reverse=True)
     for g, key, weight in [f for f in found if f[0] >= LEAST_EVIDENCE][:TERMS]:
@@ -304,10 +349,12 @@ def fit(labelled: DataFrame) -> Model:
     stems = {s: w for s, w in stems.items() if pos[f"{s}*"] > 1.3 * max((pos.get(t, 0) for t in terms if t.startswith(s)), default=0)}
     lengths = sorted({len(s) for s in stems})
     terms = {t: w for t, w in terms.items() if t in INSULTS or not any(t[:n] in stems for n in lengths)}
-    strong = 0.8 * max((w for t, w in terms.items()), default=0.0)
-    fuzzy = [*INSULTS, *[key for _, key, weight in found if key in terms and key not in INSULTS and weight >= strong][:FUZZY]]
-    got = sample.repartition(tasks).mapInArrow(_featured(terms, stems, fuzzy), "x array<double>, toxic int").collect()  # SAMPLE rows of FEATURES numbers at most
-    return Model(terms, stems, fuzzy, fit_weights(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)))
+    fuzzy = [t for t in terms if allowed(t)]
+    # words of several clean texts, and no more common in toxic ones, are words of their own
+    known = counts.filter((F.col("neg") >= LEAST_CLEAN) & (F.col("pos") * all_neg <= F.col("neg") * all_pos) & ~F.col("key").endswith("*")).select("key")
+    clean = frozenset(r["key"] for r in known.mapInArrow(_matching(terms, stems, fuzzy), "key string").collect())  # near words of terms, from SAMPLE rows
+    got = sample.repartition(tasks).mapInArrow(_featured(terms, stems, fuzzy, clean), "x array<double>, toxic int").collect()  # SAMPLE rows of FEATURES numbers at most
+    return Model(terms, stems, fuzzy, fit_weights(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)), clean)
 
 
 def _scored(model: Model):

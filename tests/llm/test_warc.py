@@ -23,6 +23,16 @@ def test_text_title_language_and_links():
     assert warc.extract("<p" * 20_000)[0] is not None  # in linear time
 
 
+def test_quoted_values_of_any_length():
+    for n in (10, 5_000, 300_000):
+        for q in "\"'":
+            text, _, _, links = warc.extract(f"<p>a <a data-x={q}{'x' * n}<b>secret{q} href=/l>go</a> b</p>")
+            assert (text, links) == ("a go b", ["/l"])
+    assert warc.extract("<p class=it's>one</p> <i>don't</i>")[0] == "one\ndon't"
+    assert warc.extract('<a href="/m>open</a> <b>two</b>')[0] == "open two"  # never closed
+    assert warc.extract("<i a='1'>x</i>" * 50_000 + "<a b='" + "<i>y</i>" * 50_000)[0].startswith("xxx")  # in linear time
+
+
 def test_records_round_trip():
     headers, block = {"WARC-Type": "x", "WARC-Record-ID": "<a>", "Note": "two\r\n lines"}, b"\r\n\r\nbody\x00"
     raw = warc.encoded(headers, block) * 3

@@ -201,7 +201,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 #: Elements whose content is no text, and those that end a line.
 _SILENT = "script|style|noscript|template|title"
 _LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul body head html".split())
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b[^>]*>(?P<inside>.*?)(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*+|[^>]*)>", re.S | re.I)
+#: A quote opens a value after = only, of any length; one that is never closed is a letter like others, and its tag ends at the next >.
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b[^>]*>(?P<inside>.*?)(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+|[^>]*)>", re.S | re.I)
 _HREF = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
 

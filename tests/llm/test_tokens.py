@@ -131,5 +131,26 @@ def test_token_files_round_trip(spark, tmp_path):
         Reader(str(tmp_path / "bad"))
 
 
+def test_reading_selects_the_starts_of_each_batch(tmp_path, monkeypatch):
+    from tidelog.llm import token_files as tf
+
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 0), (1, 9), (3000, 10**6), (3000, 50)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        e = EliasFano(*(p := EliasFano.parts(values, top))[:1], n, *p[1:])
+        for a in range(0, n, 700):
+            assert (e.selects(a, min(a + 701, n)) == values[a : a + 701]).all()
+    lengths = rng.integers(0, 9, 50)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    out = tf.Writer(str(tmp_path / "one.tlef"), 2)
+    out.add(list(range(50)), np.arange(starts[-1], dtype=np.uint32), starts)
+    out.close()
+    monkeypatch.setattr(tf, "ENCODED_AT_ONCE", 7)
+    monkeypatch.setattr(EliasFano, "all", None)
+    got = pa.Table.from_batches(tf._reads([pa.record_batch({"path": [str(tmp_path / "one.tlef")], "base": [100]})]))
+    assert got["start"].to_pylist() == (starts[:-1] + 100).tolist() and got["n_tokens"].to_pylist() == lengths.tolist()
+    assert b"".join(got["ids"].to_pylist()) == np.arange(starts[-1], dtype="<u4").tobytes()
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     assert read_token_files(write_token_files(awkward(spark, []), str(tmp_path), WORDS)).count() == 0

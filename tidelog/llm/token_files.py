@@ -43,10 +43,9 @@ class EliasFano:
         self.l, self.count = low_width, count
         self.low = np.frombuffer(low, np.uint8)
         self.high = np.frombuffer(high, np.uint8)
-        ones = np.unpackbits(self.high, bitorder="little")
-        padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK, np.uint8)
-        padded[: len(ones)] = ones
-        self.before = np.concatenate([[0], np.cumsum(padded.reshape(-1, BLOCK).sum(1, dtype=np.int64))])
+        padded = np.zeros(-(-len(self.high) * 8 // BLOCK) * BLOCK // 8, np.uint8)
+        padded[: len(self.high)] = np.bitwise_count(self.high)
+        self.before = np.concatenate([[0], np.cumsum(padded.reshape(-1, BLOCK // 8).sum(1, dtype=np.int64))])
 
     @staticmethod
     def low_bits(count: int, universe: int) -> int:
@@ -76,6 +75,14 @@ class EliasFano:
         at = block * BLOCK + int(np.flatnonzero(bits)[i - int(self.before[block])])
         return (at - i) << self.l | int(self._low(np.array([i]))[0])
 
+    def selects(self, start: int, end: int) -> np.ndarray:
+        """The values of indices start to end - 1; reads only the blocks of high bits that hold them."""
+        i = np.arange(start, end, dtype=np.int64)
+        first, last = np.searchsorted(self.before, i[[0, -1]], side="right") - 1
+        bits = np.unpackbits(self.high[first * BLOCK // 8 : (last + 1) * BLOCK // 8], bitorder="little")
+        at = first * BLOCK + np.flatnonzero(bits)[i - self.before[first]]
+        return (at - i) << self.l | self._low(i)
+
     def all(self) -> np.ndarray:
         i = np.arange(self.count, dtype=np.int64)
         return (np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count] - i) << self.l | self._low(i)
@@ -175,9 +182,8 @@ def _reads(batches):
     for batch in batches:
         for row in batch.to_pylist():
             file = Reader(row["path"])
-            starts = file.starts.all()
             for at in range(0, file.count, ENCODED_AT_ONCE):
-                own = starts[at : at + ENCODED_AT_ONCE + 1]
+                own = file.starts.selects(at, min(at + ENCODED_AT_ONCE, file.count) + 1)
                 body = file.span(int(own[0]), int(own[-1])).astype("<u4")
                 local = own - own[0]
                 ids = [body[a:b].tobytes() for a, b in zip(local, local[1:], strict=False)]

@@ -6,7 +6,7 @@ import pytest
 
 from tests.llm.common import TEXTS, WORDS, awkward, near_classes, shingle_set
 from tidelog.llm import minhash as m
-from tidelog.llm.graph import components
+from tidelog.llm.graph import components, contracted, joined
 
 
 def as_rows(df):
@@ -95,3 +95,90 @@ def test_components(spark):
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: r for x, r in root.items() if (x, r) != (7, 7) or x != 7 or 6 in root}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def least_reached(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_contraction_keeps_components_and_leaves_a_forest():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 400, 900) * 3, rng.integers(0, 400, 900) * 3
+    x, y = contracted(a, b)
+    root = least_reached(list(zip(a.tolist(), b.tolist(), strict=True)))
+    assert len(set(x.tolist())) == len(x) and dict(zip(x.tolist(), y.tolist(), strict=True)) == {n: r for n, r in root.items() if n != r}
+    long = np.random.default_rng(6).permutation(20_000)
+    x, y = contracted(long[:-1], long[1:])
+    assert len(x) == 19_999 and not y.any()
+
+
+def test_components_in_many_tasks(spark):
+    rng = random.Random(8)
+    edges = [(i + 1, i) for i in range(500)] + [(x, 1000) for x in range(1001, 1400)] + [tuple(rng.sample(range(2000, 2300), 2)) for _ in range(250)]
+    rng.shuffle(edges)
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(16)).collect()}
+    assert got == least_reached(edges)
+
+
+def test_further_edges_join_components(spark):
+    rng = random.Random(9)
+    edges = [tuple(rng.sample(range(200), 2)) for _ in range(160)]
+    frame = lambda e: spark.createDataFrame(e, "a bigint, b bigint")
+    roots = components(frame(edges[:70]))
+    for part in (edges[70:90], edges[90:], []):
+        roots = joined(roots, frame(part))
+    assert {r["id"]: r["root"] for r in roots.collect()} == least_reached(edges)
+
+
+def test_shingles_of_any_width_follow_the_order_of_words():
+    words = [f"w{i}" for i in range(24)]
+    for width in (9, 12, 24):
+        for other in (0, 1):
+            swapped = list(words)
+            swapped[other], swapped[other + 8] = swapped[other + 8], swapped[other]
+            a, b = m.shingled(pa.array([" ".join(words), " ".join(swapped)]), width)
+            wanted = [shingle_set(" ".join(t), width) for t in (words, swapped)]
+            assert len(set(a) & set(b)) == len(wanted[0] & wanted[1])
+
+
+def test_a_group_of_near_copies_has_few_pairs_a_member(spark, monkeypatch):
+    rng, written, own = random.Random(10), {}, m.table
+    base = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, 0.003))) for i in range(500)]
+
+    def table(df, name):
+        made = own(df, name)
+        written.setdefault(name, made)
+        return made
+
+    monkeypatch.setattr(m, "table", table)
+    found = m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)
+    assert as_rows(found) == near_classes(rows, 5, 80)
+    classes, pairs = written["classes"].count(), sum(written[k].count() for k in ("first", "rest", "more") if k in written)
+    assert classes > 150 and pairs < 3 * classes
+
+
+def test_long_texts_are_cut_by_bytes_not_by_rows(monkeypatch):
+    from tidelog.llm.common import slices
+
+    texts = pa.array(["a" * 10, None, "b" * 100, "", "c" * 30, "d" * 30, "é" * 20])
+    assert [len(p) for p in slices(texts, 100, 64)] == [2, 1, 3, 1]
+    assert [len(p) for p in slices(texts, 2, 1 << 20)] == [2, 2, 2, 1]
+    assert [len(p) for p in slices(texts.slice(2, 3), 100, 64)] == [1, 2] and list(slices(texts.slice(0, 0), 5)) == []
+
+
+def test_a_text_of_megabytes(spark):
+    rng = random.Random(3)
+    long = [rng.choice(WORDS) + str(rng.randrange(10_000)) for _ in range(400_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:200_000], "other", *long[200_000:]])), (3, " ".join(long[:300_000]))]
+    assert as_rows(m.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80)) == near_classes(rows, 5, 80)
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "same text here", 1, 2), (2, "same text here", 3, 4), (3, "another one", 5, 6)], "doc_id bigint, text string, `a.b` int, `c``d e` int")
+    left = m.one_of_each(df, 2, 80)
+    assert left.columns == df.columns and sorted(r["a.b"] for r in left.collect()) == [1, 5]

@@ -57,6 +57,34 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of this very name, whatever letters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, names: list[str] | None = None) -> Column:
+    """A struct of columns, all by default, under their own names."""
+    return F.struct(*[column(c).alias(c) for c in names or df.columns])
+
+
+#: Bytes of texts that a Python worker takes in hand together; a longer text is taken alone.
+BYTES_AT_ONCE = 16 << 20
+
+
+def slices(texts, rows: int, most: int | None = None):
+    """Parts of an Arrow array of texts, one after the other, of up to so many rows and bytes; a part holds a row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    most = most or BYTES_AT_ONCE
+    at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

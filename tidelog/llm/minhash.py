@@ -8,18 +8,23 @@ the estimate from equal registers, less the expected accidental ones, comes with
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other. In a bucket of a band, each class is compared with
-one leader, by a different order in each band. Links from these give components. Where a bucket of three or more holds more than
+one leader, the first of them in one order for all bands; a class first with the first of its leaders, then with those that are still
+in other components. A group of near copies mostly has the same few leaders in all its bands, so a class has one pair or a few to compare, not one for each band. Links from these give components. Where a bucket of three or more holds more than
 one component, its pairs across components are compared: all of a small bucket's; of a large one's, in tiles of bounded size, first the likeliest
-partner of each member, and then all that are left inside the tiles, which carry the sets and return a
-link for each two components that meet. So a large group of near copies costs about a comparison per member and band, and no
-pair that shares a band and may change a component goes untested.
+partner of each member, and then all that are left inside the tiles, which carry the sets, compare them whole and return a
+link for each two components that meet. So a large group of near copies costs a few comparisons a member, and no
+pair that shares a band and may change a component goes untested. New links join the components found before; those are not found again.
 
 Four registers a band and 32 bands find a pair of similarity 0.8 but for about one in 10^7 (0.59^32).
 
+Skew: a bucket, a leader or a text that many rows share is a key of many rows in inner or left joins only, which Spark splits
+by its skew join; aggregations by such keys start inside the tasks. A task holds one tile, of TILE members and TILE_SHINGLES shingles a side,
+or one text: a text of any length is shingled whole, alone once it is longer than BYTES_AT_ONCE.
+
 Defined cases: null text, or text without words, has the empty set and links with nothing; with fewer words than a shingle has,
 the whole sequence is the one shingle; repeated rows link as equal sets do; a null doc_id takes part, and a component of null
-doc_ids alone has a null component_id; an empty table gives no rows; other columns are left out. Shingles and sets are known by
-64-bit hashes.
+doc_ids alone has a null component_id; an empty table gives no rows; other columns are left out. Shingles are known by
+64-bit hashes, of which a pair's sets hold few; equal sets and texts are known by 128 bits, since those of all documents meet.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, documents, give_back, table
-from tidelog.llm.graph import components
+from tidelog.llm.common import claim, column, documents, give_back, slices, table, whole
+from tidelog.llm.graph import components, joined
 from tidelog.llm.words import hashed, mixed, words
 
 REGISTERS, BITS, MANTISSA = 256, 8, 10
@@ -39,13 +44,17 @@ BAND, BANDS = 4, 32
 SIGMAS = 4.5
 #: Share of the registers of unequal items that agree by accident, times 2^(mantissa bits): the published constant of HyperMinHash.
 ACCIDENT = 0.169919487159739
-SMALL_BUCKET, TILE = 32, 1024
+SMALL_BUCKET, TILE, TILE_SHINGLES = 32, 1024, 1_000_000
 TEXTS_AT_ONCE = 500
 #: Partners of each member of a large bucket that are compared first.
 PARTNERS = 1
-#: Up to so many keys of texts are broadcast to find the texts again (8 bytes each).
+#: Up to so many keys of texts are broadcast to find the texts again (24 bytes each).
 BROADCAST_KEYS = 500_000
-_SCRAMBLE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def scramble(place: int) -> np.uint64:
+    """The odd factor of a shingle's word at a place, a different one for each place."""
+    return mixed(np.array([place + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
 
 
 def shingles(w: np.ndarray, width: int) -> np.ndarray:
@@ -56,21 +65,27 @@ def shingles(w: np.ndarray, width: int) -> np.ndarray:
     n = len(w) - width + 1
     h = np.zeros(n, np.uint64)
     for j in range(width):
-        h += w[j : j + n] * _SCRAMBLE[j % 8] + np.uint64(j)
+        h += w[j : j + n] * scramble(j)
     return np.unique(mixed(h + np.uint64(width)))
 
 
 def shingled(texts: pa.Array, width: int):
     """The shingles of each text."""
-    for at in range(0, len(texts), TEXTS_AT_ONCE):
-        distinct, of, starts = words(texts.slice(at, TEXTS_AT_ONCE))
+    for part in slices(texts, TEXTS_AT_ONCE):
+        distinct, of, starts = words(part)
         w = hashed(distinct)[of]
         for a, b in zip(starts, starts[1:], strict=False):
             yield shingles(w[a:b], width)
 
 
-def class_of(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+def digest(own: np.ndarray) -> bytes:
+    """What a set is known by: 128 bits."""
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def text_key(text: Column) -> Column:
+    """What a text is known by: 128 bits."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def registers(ordered: np.ndarray) -> np.ndarray:
@@ -111,10 +126,10 @@ def _sketches(width: int):
             rows: list[list] = [[], [], [], []]
             for own in shingled(batch.column(2), width):
                 sketch = registers(own)
-                values = (len(own), class_of(own), sketch.tobytes(), dense(sketch).tobytes()) if len(own) else (0, None, None, None)
+                values = (len(own), digest(own), sketch.tobytes(), dense(sketch).tobytes()) if len(own) else (0, None, None, None)
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
-            yield pa.record_batch({"doc_id": batch.column(0), "tkey": batch.column(1), "n_shingles": pa.array(rows[0], pa.int64()), "cls": pa.array(rows[1], pa.int64()), "sketch": pa.array(rows[2], pa.binary()), "dense": pa.array(rows[3], pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column(0), "tkey": batch.column(1), "n_shingles": pa.array(rows[0], pa.int64()), "digest": pa.array(rows[1], pa.binary()), "sketch": pa.array(rows[2], pa.binary()), "dense": pa.array(rows[3], pa.binary())})
         give_back()
 
     return run
@@ -124,21 +139,11 @@ def _sets(width: int):
     def run(batches):
         claim("minhash")
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
-                yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
-        give_back()
-
-    return run
-
-
-def _sets32(width: int):
-    def run(batches):
-        claim("minhash")
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                own = list(shingled(batch.column(0).slice(at, TEXTS_AT_ONCE), width))
-                yield pa.record_batch({"cls": pa.array(map(class_of, own), pa.int64()), "members_of": pa.array([(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in own], pa.binary())})
+            at = 0
+            for part in slices(batch.column(1), TEXTS_AT_ONCE):
+                own = pa.array([s.view(np.int64) for s in shingled(part, width)], pa.list_(pa.int64()))
+                yield pa.record_batch({"cls": batch.column(0).slice(at, len(part)), "members": own})
+                at += len(part)
         give_back()
 
     return run
@@ -200,16 +205,16 @@ def _likeliest(similarity: float):
 
 
 def _linked(similarity: float, percent: int):
-    """Compares all rivals of a tile on their sets, as 32-bit hashes; a link for each two components that meet in one."""
+    """Compares all rivals of a tile on their whole sets; a link for each two components that meet in one."""
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("cls")
         cls, comp, n, chunk = (tile.column(c).to_numpy() for c in ("cls", "comp", "n", "chunk"))
         comp, sketch = comp.copy(), _matrix(tile.column("sketch"))
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
-        sets = [np.frombuffer(b, np.uint32) for b in tile.column("members_of").to_pylist()]
-        universe, of = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        sets = tile.column("members_of").combine_chunks()
+        ends, (universe, of) = sets.offsets.to_numpy().astype(np.int64), np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        ends = ends - ends[0]
         there, found = np.zeros(len(universe), np.int32), []
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         for x in left:
@@ -231,11 +236,11 @@ def _linked(similarity: float, percent: int):
 
 
 def _texts(ends: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """text: one of each class of ends (cls)."""
-    keys = table(classes.select("cls", "tkey").join(ends, "cls").select("tkey").distinct(), "keys")
+    """cls, text: one text of each class of ends (cls)."""
+    keys = table(classes.select("cls", "tkey").join(ends, "cls"), "keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return docs.join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.first("text").alias("text")).select("text")
+    return docs.join(keys, "tkey").groupBy("cls").agg(F.first("text").alias("text")).select("cls", "text")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -252,6 +257,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
     return both.select("x", "y", "n_x", "n_y", shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("n_x") + F.col("n_y") - F.col("shared"))).select("x", "y")
 
 
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    """Two classes as x < y."""
+    return F.least(a, b).alias("x"), F.greatest(a, b).alias("y")
+
+
+def _apart(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls, leader: those of different components."""
+    of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    return led.join(of("cls"), "cls", "left").join(of("leader"), "leader", "left").filter(F.coalesce("cls_root", "cls") != F.coalesce("leader_root", "leader")).select("cls", "leader")
+
+
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """key, cls, members, comp: buckets of three or more members of more than one component."""
     placed = buckets.filter("members > 2").join(roots.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "members", F.coalesce("root", "cls").alias("comp"))
@@ -260,66 +276,68 @@ def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, *columns: str) -> DataFrame:
-    """rows: key, members, cls. Each bucket in chunks of about TILE members, and each two chunks (i <= j) in a tile."""
-    chunked = rows.withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    """rows: key, members, shingles (both of the whole bucket), cls. Each bucket in chunks of about TILE members and TILE_SHINGLES shingles, and each two chunks (i <= j) in a tile."""
+    chunks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+    chunked = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     other = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return other.select("key", "cls", *columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tkey (hash of the text), n_shingles, cls, component_id, kept for each row of docs. Links: 100 * intersection >= percent * union of the sets of width-word shingles."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("string").alias("text"))
-    sketched = table(rows.mapInArrow(_sketches(width), "doc_id long, tkey long, n_shingles long, cls long, sketch binary, dense binary"), "sketches")
-    classes = table(sketched.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("dense").alias("dense")), "classes")
+    """doc_id, tkey (hash of the text), n_shingles, digest (of the set), root (a number for the component), component_id, kept for each row of docs. Links: 100 * intersection >= percent * union of the sets of width-word shingles."""
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), text_key(column(text)).alias("tkey"), column(text).cast("string").alias("text"))
+    sketched = table(rows.mapInArrow(_sketches(width), "doc_id long, tkey binary, n_shingles long, digest binary, sketch binary, dense binary"), "sketches")
+    alike = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least_doc"), F.first("tkey").alias("tkey"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("dense").alias("dense"))
+    classes = table(alike.withColumn("cls", F.monotonically_increasing_id()), "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("dense"), b * 2 * BAND + 1, F.lit(2 * BAND))))
     banded = classes.select("cls", F.explode(band).alias("key"))
-    met = banded.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("cls", "key"), "cls")).alias("leader")).filter("members > 1").select("key", "members", F.col("leader.cls").alias("leader"))
+    met = table(banded.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("cls"), "cls")).alias("leader")).filter("members > 1").select("key", "members", F.col("leader.cls").alias("leader")), "met")
     buckets = table(banded.join(met, "key"), "buckets")
-    stars = buckets.filter("cls != leader").select(F.least("cls", "leader").alias("x"), F.greatest("cls", "leader").alias("y")).distinct()
+    led = table(buckets.filter("cls != leader").select("cls", "leader").distinct(), "led")
     source = rows.select("tkey", "text")
-    links = table(_confirmed(stars, classes, source, width, percent), "links")
-    roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-
-    def join_links(new: DataFrame) -> None:
-        nonlocal links, roots
-        links = links.unionByName(new)
-        roots = table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    first = table(led.groupBy("cls").agg(F.min(F.struct(F.xxhash64("leader"), "leader")).alias("first")).select(*_pair("cls", "first.leader")), "first")
+    roots = table(components(_confirmed(first, classes, source, width, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    rest = table(_apart(led, roots).select(*_pair("cls", "leader")).join(first, ["x", "y"], "left_anti").distinct(), "rest")
+    new = table(_confirmed(rest, classes, source, width, percent), "links")
+    if not new.isEmpty():
+        roots = table(joined(roots, new.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     own = classes.select("cls", F.col("n_shingles").alias("n"), "sketch")
     open_ = _open(buckets, roots)
     few = open_.filter(F.col("members") <= SMALL_BUCKET)
     small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
-    many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls")
+    many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls").withColumn("shingles", F.lit(0))
     likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, member long, x long, y long, more boolean"), "likely")
-    more = small.unionByName(likely.select("x", "y")).distinct().join(stars, ["x", "y"], "left_anti")
+    more = small.unionByName(likely.select("x", "y")).distinct().join(first.unionByName(rest), ["x", "y"], "left_anti")
     new = table(_confirmed(table(more, "more"), classes, source, width, percent), "links")
     if not new.isEmpty():
-        join_links(new)
+        roots = table(joined(roots, new.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
     if not likely.filter("more").isEmpty():  # who had no rival has none now, as components only grow
         rivals = table(likely.select("key", F.col("member").alias("cls")).distinct(), "rivals")
-        still = table(_open(buckets.join(rivals, ["key", "cls"], "left_semi"), roots), "open")
-        sets = table(_texts(still.select("cls").distinct(), classes, source).mapInArrow(_sets32(width), "cls long, members_of binary"), "sets")
-        last = still.join(own.join(sets, "cls"), "cls")
-        found = table(_tiles(last, "comp", "n", "sketch", "members_of").groupBy("key", "i", "j").applyInArrow(_linked(percent / 100, percent), "x long, y long").distinct(), "found")
-        new = table(_confirmed(found, classes, source, width, percent), "links")
-        if not new.isEmpty():
-            join_links(new)
-
-    labelled = classes.select("cls", "least_doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        still = _open(buckets.join(rivals, ["key", "cls"], "left_semi"), roots)
+        sets = table(_texts(still.select("cls").distinct(), classes, source).mapInArrow(_sets(width), "cls long, members array<long>").withColumnRenamed("members", "members_of"), "sets")
+        weighed = table(still.join(own.select("cls", "n"), "cls"), "weighed")
+        heavy = weighed.groupBy("key").agg(F.sum("n").alias("shingles"))
+        last = weighed.join(heavy, "key").join(own.select("cls", "sketch").join(sets, "cls"), "cls")
+        found = table(_tiles(last, "comp", "n", "sketch", "members_of").groupBy("key", "i", "j").applyInArrow(_linked(percent / 100, percent), "x long, y long"), "found")
+        if not found.isEmpty():
+            roots = table(joined(roots, found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+
+    labelled = classes.select("digest", "cls", "least_doc").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = labelled.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = labelled.join(least, "root").select("cls", "component_id", F.col("root"))
-    out = sketched.select("doc_id", "tkey", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "tkey", "n_shingles", "cls", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = labelled.join(least, "root").select("digest", "component_id", "root")
+    out = sketched.select("doc_id", "tkey", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "tkey", "n_shingles", "digest", "root", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without near copies: of each component one row of the least doc_id (then least hash of the text); every row without shingles stays."""
     found = near_duplicates(docs, width, percent, doc_id, text)
-    first = found.filter("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("first")).select(F.col("first.doc_id").alias("__doc"), F.col("first.tkey").alias("__tkey"))
-    worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = found.filter("digest is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("first")).select(F.col("first.doc_id").alias("__doc"), F.col("first.tkey").alias("__tkey"))
+    worded = F.coalesce(column(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     bare = docs.filter(~worded)
-    keyed = docs.filter(worded).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(doc_id).cast("long").alias("__doc"), F.xxhash64(F.col(text)).alias("__tkey"))
+    keyed = docs.filter(worded).select(whole(docs).alias("__row"), column(doc_id).cast("long").alias("__doc"), text_key(column(text)).alias("__tkey"))
     same = (keyed["__tkey"] == first["__tkey"]) & keyed["__doc"].eqNullSafe(first["__doc"])
     kept = keyed.join(first, same, "left_semi").groupBy("__doc", "__tkey").agg(F.first("__row").alias("__row")).select("__row.*")
     return kept.unionByName(bare)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
-from tidelog.llm.graph import components
+from tidelog.llm.graph import Forest, components
 from tidelog.llm.vectors import inner, matrix, vectors
 
 BLOCKS, RANGE_ROWS = 8, 32_768
@@ -52,25 +52,6 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return inner(x, y) / (np.sqrt(inner(x, x)) * np.sqrt(inner(y, y)))
 
 
-class Forest:
-    """The least index that links reach, for indices below n; a batch of links at a time."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while True:
-            x, y = root[a], root[b]
-            if (x == y).all():
-                return
-            low = np.minimum(x, y)
-            np.minimum.at(root, x, low)
-            np.minimum.at(root, y, low)
-            while (root[root] != root).any():
-                root[:] = root[root]
-
-
 def _coordinates(width: str):
     def run(batches):
         for batch in batches:

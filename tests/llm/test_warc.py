@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 import io
+import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -97,3 +100,99 @@ def test_members_of_any_size():
 
 def test_nothing(spark, tmp_path):
     assert warc.derive(warc.read_warc(warc.write_warc(warc.responses(pages(spark, [])), str(tmp_path)))).count() == 0
+
+
+#: Pages that never end what they begin; n letters each.
+HOSTILE = {
+    "name": lambda n: "<" + "a" * n, "tags": lambda n: "<a " * (n // 3), "tags, one end": lambda n: "<a " * (n // 3) + ">", "script": lambda n: "<script " * (n // 8), "scripts": lambda n: "<script>" * (n // 8) + "</script " * (n // 9), "declarations": lambda n: "<!" * (n // 2),
+    "comments": lambda n: "<!-- -" * (n // 6), "links": lambda n: "<a " + "href = " * (n // 7) + ">", "quotes": lambda n: '<a x="' * (n // 6), "ends in quotes": lambda n: "<a x='>' " * (n // 9), "ends in either quotes": lambda n: "<a x='>' <b y=\">\" " * (n // 18), "equals": lambda n: "<a " + "=" * n + ">", "blanks": lambda n: "<a x=" + " " * n + "'>",
+    "quoted blanks": lambda n: '<a b=">"' + " =" * (n // 2), "references": lambda n: "&#" + "9" * n + ";&#" + "0" * n + "65;", "titles": lambda n: "<title>x</title" * (n // 15), "bare": lambda n: "<a b='>'" + "<c=d" * (n // 4) + "><e" + "=f" * (n // 2),
+}
+
+
+@pytest.mark.parametrize("shape", HOSTILE)
+def test_time_grows_as_the_length(shape):
+    def least(n):
+        page, took = HOSTILE[shape](n), []
+        for _ in range(3):
+            began = time.process_time()
+            warc.extract(page)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    small, large = least(250_000), least(1_000_000)
+    assert large < 12 * max(small, 0.01), (small, large)  # 4 times in proportion, 16 times as a square
+
+
+def test_loose_tags_end_alike_however_they_are_found():
+    """The scanner that remembers where no end was against one that looks anew for each tag."""
+    rng = random.Random(1)
+    bits = ["<a", "<p", "<", ">", '="', '"', "'", "='", '">"', "'>'", "=", " ", "x", "b=c", "</a"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
+        end = page.rfind(">") + 1
+        ends = warc._Ends(page, end)
+        for m in warc._NEXT.finditer(page, 0, end):
+            if m["name"]:
+                assert ends.after(m.end()) == warc._Ends(page, end).after(m.end())
+        text, _, _, links = warc.extract(page)
+        assert isinstance(text, str) and isinstance(links, list)
+
+
+class Plain(HTMLParser):
+    """Text, title and links by the standard library, for pages without broken markup."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.title, self.links, self.quiet = [], "", [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "title"):
+            self.quiet.append(tag)
+        if tag in warc._LINES:
+            self.out.append("\n")
+        if tag == "a" and (href := dict(attrs).get("href")):
+            self.links.append(href.strip())
+
+    def handle_endtag(self, tag):
+        if self.quiet and self.quiet[-1] == tag:
+            self.quiet.pop()
+        elif tag in warc._LINES:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.quiet:
+            self.out.append(data)
+        elif self.quiet == ["title"] and not self.title:
+            self.title = " ".join(data.split())
+
+
+def test_pages_against_the_standard_parser(spark):
+    read = 0
+    for (page,) in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").filter("html is not null").collect():
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        text, title, _, links = warc.extract(page)
+        read += 1
+        assert text == "\n".join(filter(None, (" ".join(line.split()) for line in "".join(plain.out).split("\n"))))
+        assert (title, links) == (plain.title, plain.links)
+    assert read > 50
+
+
+def test_texts_written_out_by_hand():
+    for page, wanted in [
+        ("<h1>A</h1><p>b <i>c</i></p>d", "A\nb c\nd"),
+        ("a<!-- <p>x</p> -->b<!-- c", "ab"),
+        ("a<script>if (x < y) {}</script>b<STYLE>p{}</STYLE>c", "abc"),
+        ("a<script>b", "a"),
+        ("<ul><li>one<li>two</ul>", "one\ntwo"),
+        ("1 < 2 & 3 > 2 <", "1 < 2 & 3 > 2 <"),
+        ("x<br/>y&nbsp;z&eacute;&#233;&#xe9;&#99999999999;", "x\ny zééé\ufffd"),
+        ("<p title='a > b'>c</p <p>d", "c\nd"),
+        ("t <b", "t <b"),
+        ("t > u <!-- v", "t > u"),
+    ]:
+        assert warc.extract(page)[0] == wanted, page
+    assert warc.extract("<title>a <b>c</b></title>d<title>e</title>")[:2] == ("d", "a <b>c</b>")
+    assert warc.extract("x<title>never &amp; closed > y")[:2] == ("x", "never & closed > y")

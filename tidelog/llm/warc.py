@@ -9,11 +9,13 @@ UUIDs of kind, source and digest, so that a repeated run gives the same records.
 under a name of its own and renames it when it is whole.
 
 Text of HTML: scripts, styles, templates, comments and the title are left out; block elements end a line; references are resolved; blanks
-are collapsed and empty lines dropped. An unclosed comment or script reaches to the end.
+are collapsed and empty lines dropped. An unclosed comment or script reaches to the end. A page takes time as its length does, however broken it
+is; a `<` behind the last `>` is a letter, and so is a quote that is closed there only.
 
 Defined cases: a null or empty page is a response with an empty payload, and its conversion record is empty; a null url leaves
 WARC-Target-URI and relative outlinks out; a null page_id leaves Page-Id out; repeated pages give records each, with equal ids; an empty table gives
-no file and no records; other columns are left out; line breaks in header values become blanks.
+no file and no records; other columns are left out, whatever their names; line breaks in header values become blanks. A page of any length is
+one record, held whole by one task; pages are taken in hand AT_ONCE rows or BYTES_AT_ONCE at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filesystem, fresh_dir, table
+from tidelog.llm.common import BYTES_AT_ONCE, column, filesystem, fresh_dir, slices, table
 
 RECORDS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 RECORDS_SQL = "record_id string, type string, headers map<string,string>, block binary"
@@ -84,16 +86,25 @@ def _batch(rows: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
 
 
 def _batches(rows):
-    """Rows (headers, block) as record batches."""
-    rows = iter(rows)
-    while part := list(itertools.islice(rows, AT_ONCE)):
+    """Rows (headers, block) as record batches of up to AT_ONCE rows; one is full once it holds BYTES_AT_ONCE."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[1])
+        if len(part) == AT_ONCE or size >= BYTES_AT_ONCE:
+            yield _batch(part)
+            part, size = [], 0
+    if part:
         yield _batch(part)
 
 
 def _responses(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            for page, url, body in zip(*(batch.column(c).slice(at, AT_ONCE).to_pylist() for c in range(3)), strict=True):
+        at = 0
+        for bodies in slices(batch.column(2), AT_ONCE):
+            pages, urls = (batch.column(c).slice(at, len(bodies)).to_pylist() for c in range(2))
+            at += len(bodies)
+            for page, url, body in zip(pages, urls, bodies.to_pylist(), strict=True):
                 payload = (body or "").encode("utf-8", "surrogatepass")
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
                 own = digest(payload)
@@ -104,7 +115,7 @@ def _responses(batches):
 
 
 def _pages(pages: DataFrame, page_id: str, url: str, body: str) -> DataFrame:
-    return pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(body).cast("string"))
+    return pages.select(column(page_id).cast("long"), column(url).cast("string"), column(body).cast("string"))
 
 
 def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -133,9 +144,11 @@ def _written(rows, folder: str):
 
 def _rows(batches, headers: int, block: int):
     for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            heads, blocks = (batch.column(c).slice(at, AT_ONCE).to_pylist() for c in (headers, block))
-            yield from ((dict(h), b) for h, b in zip(heads, blocks, strict=True))
+        at = 0
+        for blocks in slices(batch.column(block), AT_ONCE):
+            heads = batch.column(headers).slice(at, len(blocks)).to_pylist()
+            at += len(blocks)
+            yield from ((dict(h), b) for h, b in zip(heads, blocks.to_pylist(), strict=True))
 
 
 MANIFEST = "path string, records long"
@@ -201,29 +214,95 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 #: Elements whose content is no text, and those that end a line.
 _SILENT = "script|style|noscript|template|title"
 _LINES = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul body head html".split())
-#: A quote opens a value after = only, of any length; one that is never closed is a letter like others, and its tag ends at the next >.
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b[^>]*>(?P<inside>.*?)(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+|[^>]*)>", re.S | re.I)
-_HREF = re.compile(r"""(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_LANG = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+#: A quote opens a value after = only, of any length; one that is never closed is a letter like others. A tag without an end outside of quoted values is loose: it ends at the next >.
+_OTHER = rf"<!--.*?(?:-->|(?P<cut>\Z))|<(?P<silent>{_SILENT})\b[^>]*+>(?P<inside>.*?)(?:</(?P=silent)\s*+>|(?P<open>\Z))|<[!?][^>]*+>"
+_TAG = r"<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9]*+)"
+_ATTRS = r"(?:(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)>|(?P<loose>[^>]*+)>)"
+_MARKUP, _NEXT = (re.compile(f"{_OTHER}|{_TAG}{attrs}", re.S | re.I) for attrs in (_ATTRS, ""))
+_PLAIN, _BLANK, _BARE = re.compile(r"[^>=]*+"), re.compile(r"\s*+"), re.compile(r"[^\s>]*+")
+_HREF = re.compile(r"""(?:^|\s)href\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+_LANG = re.compile(r"""(?:^|\s)lang\s*+=\s*+["']?([A-Za-z-]++)""", re.I)
+_ZEROS, _HUGE = re.compile(r"&#0++(?=[0-9])"), re.compile(r"&#[0-9]{8,}+;?")
+
+
+def _title(m: re.Match) -> str | None:
+    """What a title holds; an open one, all that follows."""
+    if not m["silent"] or m["silent"].lower() != "title":
+        return None
+    return m["inside"] if m["open"] is None else m.string[m.start("inside") :]
+
+
+class _Ends:
+    """Where tags end in a page that has loose ones. An = that led to no end once isn't followed again, so all tags together take linear time."""
+
+    def __init__(self, source: str, end: int):
+        self.source, self.end, self.dead = source, end, set()
+        self.last = {q: source.rfind(q, 0, end) for q in "\"'"}
+
+    def after(self, at: int) -> int:
+        """The place of the > that ends the attributes from here on; the next one, if none stands outside of quoted values."""
+        source, end, seen, start = self.source, self.end, [], at
+        while True:
+            at = _PLAIN.match(source, at, end).end()
+            if at < end and source[at] == ">":
+                return at
+            if at >= end or at in self.dead:
+                self.dead.update(seen)
+                return source.index(">", start)
+            seen.append(at)
+            at = _BLANK.match(source, at + 1, end).end()
+            letter = source[at : at + 1]
+            if letter in self.last:
+                at = source.index(letter, at + 1, end) + 1 if at < self.last[letter] else at
+            else:
+                at = _BARE.match(source, at, end).end()
+
+
+def _marks(source: str, end: int):
+    """(start, end, name, whether it is an end tag, attributes, content of a title) of the markup before `end`, behind which no > stands; what reaches to the end of the page has no end."""
+    at, m = 0, None
+    for m in _MARKUP.finditer(source, 0, end):
+        if m["loose"] is not None:
+            at = m.start()
+            break
+        whole = m["cut"] is not None or m["open"] is not None
+        yield m.start(), None if whole else m.end(), m["name"] or "", m["end"], m["attrs"], _title(m)
+    else:
+        return
+    ends = _Ends(source, end)
+    while m := _NEXT.search(source, at, end):
+        at = ends.after(m.end()) + 1 if m["name"] else m.end()
+        whole = m["cut"] is not None or m["open"] is not None
+        yield m.start(), None if whole else at, m["name"] or "", m["end"], source[m.end() : at - 1] if m["name"] else None, _title(m)
+
+
+def unescaped(text: str) -> str:
+    """html.unescape for references of any length: numbers beyond all characters are the replacement character."""
+    if "&#" in text:
+        text = _HUGE.sub("�", _ZEROS.sub("&#", text))
+    return html.unescape(text)
 
 
 def extract(source: str) -> tuple[str, str, str, list[str]]:
-    """(text, title, language, link targets as written) of an HTML source."""
-    out, title, language, links, at = [], "", "", [], 0
-    for m in _MARKUP.finditer(source):
-        out.append(source[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+    """(text, title, language, link targets as written) of an HTML source, in time that grows as its length does, whatever it holds."""
+    out, title, language, links, at, end = [], "", "", [], 0, source.rfind(">") + 1
+    for start, stop, name, closing, attrs, inside in _marks(source, end):
+        out.append(source[at:start])
+        at = len(source) if stop is None else stop
+        name = name.lower()
         if name in _LINES:
             out.append("\n")
-        if name == "a" and not m["end"] and (href := _HREF.search(m["attrs"])):
-            links.append(html.unescape(next(g for g in href.groups() if g is not None)).strip())
-        elif name == "html" and not language and (lang := _LANG.search(m["attrs"])):
+        if name == "a" and not closing and (href := _HREF.search(attrs)):
+            links.append(unescaped(next(g for g in href.groups() if g is not None)).strip())
+        elif name == "html" and not language and (lang := _LANG.search(attrs)):
             language = lang[1]
-        elif m["silent"] and m["silent"].lower() == "title" and not title:
-            title = " ".join(html.unescape(m["inside"]).split())
-    out.append(source[at:])
-    text = html.unescape("".join(out))
+        elif inside is not None and not title:
+            title = " ".join(unescaped(inside).split())
+    rest = source[at:]
+    if at <= end and (comment := source.find("<!--", end)) >= 0:  # never closed
+        rest = source[at:comment]
+    out.append(rest)
+    text = unescaped("".join(out))
     lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(filter(None, lines)), title, language, links
 

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -100,3 +101,65 @@ def test_rotation_keeps_lengths():
     r = vd.rotated(x)
     assert np.allclose(np.linalg.norm(r, axis=1), 1) and np.allclose(r @ r.T, (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T)
     assert (vd.rotated(x[:7]) == r[:7]).all()
+
+
+DOUBLES = SCHEMA.replace("array<float>", "array<double>")
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 8))
+    for powers in ([520], [-520], [-900, 0, 900], [-300, 300]):
+        v = np.ldexp(base, np.array(powers * 40)[:40, None])
+        rows = [(i, x.tolist()) for i, x in enumerate(v)]
+        df = frame(spark, rows, DOUBLES)
+        exact = [[sum(Fraction(a) * Fraction(b) for a, b in zip(x, y, strict=True)) for y in v.tolist()] for x in v.tolist()]
+        got = {(r["query_id"], r["rank"]): r for r in nn.nearest(df, nn.F.col("vec_id") % 20 == 0, 5).collect()}
+        for q in (0, 20):
+            near = lambda i, q=q: float(exact[q][i]) if abs(exact[q][i]) < Fraction(2) ** 1024 else math.inf if exact[q][i] > 0 else -math.inf
+            want = sorted((i for i in range(40) if i != q), key=lambda i: (-near(i), i))[:5]
+            assert [got[q, k + 1]["vec_id"] for k in range(5)] == want
+            assert all(math.isclose(got[q, k + 1]["score"], near(i), rel_tol=1e-12, abs_tol=1e-320) for k, i in enumerate(want))
+        plain = plain_links([(i, x.tolist()) for i, x in enumerate(base)])
+        linked = vd.near_vectors(df).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in linked) == plain
+
+
+def test_trees_deal_every_near_pair_to_one_tile():
+    rng = np.random.default_rng(8)
+    b = np.concatenate([rng.normal(size=(900, 8)) / 8, np.repeat(rng.normal(size=(1, 8)) / 8, 100, 0) + rng.normal(size=(100, 8)) / 500])
+    cells, share = vd.Cells(b[::2], len(b), 60), 0.0125
+    assert cells.leaves > 10
+    leaf = cells.leaf_of(b)
+    visits = {(int(r), other) for other, rows in cells.within(b, share) for r in rows}
+    assert len(visits) == sum(len(rows) for _, rows in cells.within(b, share))
+    assert all((r, of) in visits for r, of in enumerate(leaf.tolist()))
+    near = ((b[:, None] - b[None]) ** 2).sum(2) <= share
+    assert all((int(p), int(leaf[q])) in visits for p, q in zip(*np.nonzero(near), strict=True))
+    assert len(visits) < 0.6 * len(b) * cells.leaves
+
+
+def test_near_vectors_in_cells_of_many_visitors(spark, monkeypatch):
+    monkeypatch.setattr(vd, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=32)
+    group = centre + rng.normal(size=(250, 32)) * 0.2  # of cosine about 0.95 with each other
+    apart = rng.normal(size=(250, 32))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([group, apart]).astype(np.float32))]
+    got = vd.near_vectors(frame(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == plain_links(rows)
+
+
+def test_copies_of_a_vector_grow_slower_than_the_table():
+    """Tiles that a vector is dealt to, for tables of vectors without structure."""
+    share, least = 0.0125, {}
+    for n in (50_000, 200_000, 3_200_000):
+        b = np.random.default_rng(10).normal(size=(20_000, 8)) / 8
+        cells = vd.Cells(b, n, vd.RANGE_ROWS)
+        leaf = cells.leaf_of(b)
+        visits = np.zeros(cells.leaves)
+        for other, rows in cells.within(b, share):
+            visits[other] += np.count_nonzero(leaf[rows] > other) * n / len(b)
+        cells.sized(np.bincount(leaf, minlength=cells.leaves) * n // len(b), visits.astype(int), vd.RANGE_ROWS)
+        least[n] = (visits.sum() + (cells.chunks[leaf] * n / len(b)).sum()) / n
+    assert least[50_000] == 1 and least[200_000] < 4 and least[3_200_000] < 20, least

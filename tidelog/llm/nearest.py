@@ -5,7 +5,10 @@ tile the vectors are quantised to int8 with a scale each. The product of two qua
 most |ex| |y| + |x'| |ey| (ex, ey: what quantising changed; x': the quantised vector). A candidate whose upper bound is below the k-th best lower
 bound of a query in the tile is out; for the rest the product is computed again in double precision, from the original
 vectors. The tiles' sorted lists of a query are merged by a heap.
-The result is exact: the bounds never drop a true neighbour.
+The result is exact: the bounds never drop a true neighbour. Vectors are divided by powers of two for the computation and the products multiplied back,
+so components of any finite size count; where products of a tile differ beyond doubles, or leave them, all its products are computed exactly. A product beyond the doubles is infinite, and ties with others.
+
+Each tile holds one block of queries and one of candidates, of so many rows and bytes: no key has more, whatever values repeat.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; candidates of another
 dimension than the query aren't compared; a row isn't a candidate of queries with its own vec_id; null vec_ids take no part; repeated
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.vectors import inner, matrix, vectors
+from tidelog.llm.vectors import inner, matrix, scaled, vectors
 
-QUERY_BLOCK, CANDIDATE_BLOCK, MERGE_ROWS = 4096, 8192, 400_000
+#: Rows of a block, and bytes of its vectors as doubles, whichever are fewer.
+QUERY_BLOCK, CANDIDATE_BLOCK, BLOCK_BYTES, MERGE_ROWS = 4096, 8192, 64 << 20, 400_000
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 256, 200_000
 FOUND = pa.schema([("uid", pa.int64()), ("block", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -51,9 +55,12 @@ def _best(order_by: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> n
 
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, row index, score) of each query's k best rows of a tile."""
+    (queries, of_query), (rows, of_row) = scaled(queries), scaled(rows)
+    comparable = not len(rows) or not len(queries) or (np.ptp(of_row) < 900 and of_query.max() + of_row.max() < 1000 and of_query.min() + of_row.min() > -900)
+    shift = np.ldexp(1.0, of_row - of_row.max(initial=0)) if comparable else np.ones(len(rows))  # of one query's products against each other
     qq, qs, qe, qn = quantised(queries)
     rq, rs, re, _ = quantised(rows)
-    length = np.linalg.norm(rows, axis=1)
+    rs, re, length = rs * shift, re * shift, np.linalg.norm(rows, axis=1) * shift
     kind = np.float32 if queries.shape[1] <= 1000 else np.float64  # sums of int8 products are exact in it
     left, right = qq.astype(kind), rq.astype(kind).T
     out: list[tuple] = []
@@ -61,12 +68,15 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
         to = slice(at, at + ROWS_AT_ONCE)
         about = (left[to] @ right).astype(np.float64) * qs[to, None] * rs
         bound = (qe[to, None] * length + qn[to, None] * re) * (1 + 1e-9) + 1e-12 * np.abs(about) + 1e-300
+        if not comparable:
+            bound = np.full_like(about, np.finfo(float).max)
         low = np.where(query_ids[to, None] == ids, -np.inf, about - bound)
         least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
         a, b = np.nonzero((about + bound >= least[:, None]) & (low > -np.inf))
         for part in range(0, len(a), PAIRS_AT_ONCE):
             x, y = a[part : part + PAIRS_AT_ONCE] + at, b[part : part + PAIRS_AT_ONCE]
-            score = inner(queries[x], rows[y])
+            with np.errstate(over="ignore"):
+                score = np.ldexp(inner(queries[x], rows[y]), of_query[x] + of_row[y])
             best = _best(x, score, ids[y], k)
             out.append((x[best], y[best], score[best]))
     if not out:
@@ -107,8 +117,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     """query_id, rank (from 1), vec_id, score of the k rows of largest inner product with each row for which is_query (a condition on vec_id) holds."""
     every, width = vectors(rows, vec_id, embedding)
     every = every.filter("body is not null and vec_id is not null").withColumn("is_query", is_query)
-    n, of_them = every.agg(F.count("*"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
-    query_blocks, blocks = max(1, math.ceil(of_them / QUERY_BLOCK)), max(1, math.ceil(n / CANDIDATE_BLOCK))
+    n, of_them, all_bytes, their_bytes = every.agg(F.count("*"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)), F.coalesce(F.sum(8 * F.col("dim").cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("is_query"), 8 * F.col("dim").cast("long"))), F.lit(0))).first()
+    query_blocks, blocks = (max(1, math.ceil(rows / most), math.ceil(size / BLOCK_BYTES)) for rows, most, size in ((of_them, QUERY_BLOCK, their_bytes), (n, CANDIDATE_BLOCK, all_bytes)))
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     own = lambda count: F.pmod(F.xxhash64("uid"), F.lit(count)).cast("int")
     asked = every.filter("is_query").withColumn("query_block", own(query_blocks)).withColumn("block", all_of(blocks))

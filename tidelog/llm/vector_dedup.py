@@ -2,16 +2,21 @@
 
 Unit vectors of cosine c or more are at most t = 2 - 2c apart in squared distance. A fixed rotation (random signs and a Hadamard transform)
 spreads each vector over all coordinates; these are split into BLOCKS blocks, each with its share t / BLOCKS of the budget. A pair within t
-is within the share in one block at least. So for each block the vectors are range-joined: ordered by the block's first
-coordinate into ranges of bounded size, and each range meets itself and the ranges that lie within the root of the share. In such a tile a grid
-over the block's next two coordinates and a sweep along the first leave the rows to compare, and pairs within the share are confirmed by the cosine of the original vectors in double
+is within the share in one block at least. So each block is range-joined: a tree of cuts at medians of the block's coordinates deals
+the vectors into cells of about RANGE_ROWS, and a vector also visits the cells before its own whose box lies within the share of it. The deeper the tree,
+the more coordinates prune, so a vector's visits grow about as the root of the table does. A cell of many visitors takes them in parts, each a tile with the cell's own
+vectors; a leaf that no cut divides (equal coordinates) is split by a hash into cells that visit each other. In a tile a grid
+over two coordinates and a sweep along another leave the rows to compare, and pairs within the share are confirmed by the cosine of the original vectors in double
 precision. A pair counts in the first block that it is within the share in, so the union of candidates needs no distinct.
 
+The cuts are medians of SAMPLE_ROWS vectors at most (SAMPLE_BYTES in all), those of least hash; all vectors are dealt, counted and joined, and a leaf that the sample got wrong is split by the hash.
+
 Equal vectors are one class from the start. A tile returns counts and one edge per vector, not its pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of different dimensions aren't linked; repeated rows link with each other; a null vec_id counts as a vector,
-and a component of null vec_ids alone has a null component_id; an empty table gives no rows; other columns are left out.
+and a component of null vec_ids alone has a null component_id; an empty table gives no rows; other columns are left out. Components of any finite size
+count, since vectors are scaled by powers of two before products are taken.
 """
 
 from __future__ import annotations
@@ -26,17 +31,20 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
 from tidelog.llm.graph import Forest, components
-from tidelog.llm.vectors import inner, matrix, vectors
-
-BLOCKS, RANGE_ROWS = 8, 32_768
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 50_000
-SLACK = 1e-9
+from tidelog.llm.vectors import inner, matrix, scaled, stored, vectors
+
+#: Rows of a cell, and bytes of their vectors, whichever are fewer.
+BLOCKS, RANGE_ROWS, RANGE_BYTES = 8, 131_072, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
+ROWS_AT_ONCE, OTHERS_AT_ONCE, PAIRS_AT_ONCE, DEALT_AT_ONCE = 512, 16_384, 50_000, 20_000
+#: What rounding to float may change of squared distances within a block: the share is widened by it, and what leads to a pair by more.
+SLACK, MARGIN = 1e-6, 1e-5
 LINKS = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def rotated(x: np.ndarray) -> np.ndarray:
     """Unit vectors turned by a fixed orthogonal map, padded to a power of two. Sums and differences element by element, so a vector's image never depends on the rows beside it."""
-    size = max(BLOCKS, 1 << (x.shape[1] - 1).bit_length())
+    size, (x, _) = max(BLOCKS, 1 << (x.shape[1] - 1).bit_length()), scaled(x)
     out = np.zeros((len(x), size))
     signs = np.random.default_rng(11).integers(0, 2, size)[: x.shape[1]] * 2.0 - 1.0
     out[:, : x.shape[1]] = x / np.sqrt(inner(x, x))[:, None] * signs
@@ -49,114 +57,188 @@ def rotated(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    (x, _), (y, _) = scaled(x), scaled(y)
     return inner(x, y) / (np.sqrt(inner(x, x)) * np.sqrt(inner(y, y)))
 
 
-def _coordinates(width: str):
-    def run(batches):
-        for batch in batches:
-            for dim in set(batch.column("dim").to_pylist()):
-                part = batch.filter(pa.array([d == dim for d in batch.column("dim").to_pylist()]))
-                r = rotated(matrix(part.column("body"), width, dim))
-                first = r[:, :: r.shape[1] // BLOCKS]
-                yield pa.record_batch({"dim": pa.array(np.full(first.size, dim), pa.int32()), "block": pa.array(np.tile(np.arange(BLOCKS), len(r)), pa.int32()), "at": pa.array(first.ravel(), pa.float64())})
+class Cells:
+    """The cells of one block: the leaves of a tree of cuts, each split by a hash into cells where it holds too many rows."""
+
+    def __init__(self, sample: np.ndarray, rows: int, most: int):
+        """Cuts a sample (of coordinates of the block) of so many rows until a leaf stands for `most` rows."""
+        self.cuts: list[tuple[int, float, int, int] | int] = []  # a cut: coordinate, value, nodes below it and from it on; a leaf: its number
+        self.leaves = 0
+        self._grow(sample, rows / max(1, len(sample)), most)
+        self.splits = self.chunks = np.ones(self.leaves, np.int64)
+        self.first = np.arange(self.leaves + 1)
+
+    def _grow(self, sample: np.ndarray, each: float, most: int) -> int:
+        node, low = len(self.cuts), None
+        self.cuts.append(0)
+        if len(sample) * each > most and len(sample) >= 16:
+            at = int(sample.std(0).argmax())
+            cut = float(np.median(sample[:, at]))
+            low = sample[:, at] < cut
+        if low is None or not low.any():
+            self.cuts[node] = self.leaves
+            self.leaves += 1
+        else:
+            self.cuts[node] = (at, cut, self._grow(sample[low], each, most), self._grow(sample[~low], each, most))
+        return node
+
+    def sized(self, home: np.ndarray, visits: np.ndarray, most: int) -> None:
+        """How many cells each leaf is split into, and in how many parts a cell takes its visitors. home, visits: rows of each leaf, and rows of later leaves that visit it."""
+        self.splits = np.maximum(1, -(-home * 2 // (3 * most)))
+        self.chunks = np.maximum(1, -(-(visits + np.where(self.splits > 1, home, 0)) // most))
+        self.first = np.concatenate([[0], np.cumsum(self.splits)])
+
+    def within(self, b: np.ndarray, share: float):
+        """(leaf, rows): the rows of b whose squared distance from the leaf's box is within the share. The first row list of each row's own leaf included."""
+        todo = [(0, np.arange(len(b)), np.zeros(b.shape), np.zeros(len(b)))]
+        while todo:
+            node, rows, off, total = todo.pop()
+            if isinstance(cut := self.cuts[node], int):
+                yield cut, rows
+                continue
+            at, value, *below = cut
+            beyond = b[rows, at] - value
+            for child, outside in zip(below, (beyond >= 0, beyond < 0), strict=True):
+                far = np.where(outside, beyond, off[:, at])
+                now = total - off[:, at] ** 2 + far**2
+                stays = np.flatnonzero(now <= share)
+                if len(stays):
+                    moved = off[stays]
+                    moved[:, at] = far[stays]
+                    todo.append((child, rows[stays], moved, now[stays]))
+
+    def leaf_of(self, b: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(b), np.int64), [(0, np.arange(len(b)))]
+        while todo:
+            node, rows = todo.pop()
+            if isinstance(cut := self.cuts[node], int):
+                out[rows] = cut
+                continue
+            at, value, *below = cut
+            low = b[rows, at] < value
+            todo += [(below[0], rows[low]), (below[1], rows[~low])]
+        return out
 
-    return run
 
+def _blocks(batch, width: str):
+    """(dim, rows of that dim, their rotated vectors) of a batch."""
+    of = batch.column("dim").to_numpy()
+    for dim in np.unique(of).tolist():
+        part = batch.filter(pa.array(of == dim))
+        yield dim, part, rotated(matrix(part.column("body"), width, dim))
 
-class Cells:
-    """The cells of one dimension's blocks: a range of the first coordinate, split by a hash where it holds more than RANGE_ROWS (equal coordinates)."""
 
-    def __init__(self, bounds: list[list[float]], counts: list[list[int]]):
-        self.bounds = [np.array(b) for b in bounds]
-        self.splits = [np.array([max(1, math.ceil(c / RANGE_ROWS / 1.5)) for c in row]) for row in counts]
-        self.first = [np.concatenate([[0], np.cumsum(s)]) for s in self.splits]
+def _tallied(width: str, cells: dict[int, list[Cells]], share: float):
+    """Rows that each leaf holds, and rows of later leaves that visit it."""
 
-    def range_of(self, block: int, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds[block], at, side="right")
+    def run(batches):
+        for batch in batches:
+            for dim, _, r in _blocks(batch, width):
+                size = r.shape[1] // BLOCKS
+                for block, own in enumerate(cells[dim]):
+                    b = r[:, block * size : (block + 1) * size]
+                    leaf, visits = own.leaf_of(b), np.zeros(own.leaves, np.int64)
+                    for other, rows in own.within(b, share):
+                        visits[other] += np.count_nonzero(leaf[rows] > other)
+                    home = np.bincount(leaf, minlength=own.leaves)
+                    some = np.flatnonzero(home + visits)
+                    yield pa.record_batch({"dim": pa.array(np.full(len(some), dim), pa.int32()), "block": pa.array(np.full(len(some), block), pa.int32()), "leaf": pa.array(some), "home": pa.array(home[some]), "visits": pa.array(visits[some])})
+
+    return run
 
-    def near(self, block: int, n: int, reach: float) -> tuple[int, int]:
-        """The first cell and the one after the last of the ranges within reach of range n."""
-        b = self.bounds[block]
-        low = 0 if n == 0 else int(np.searchsorted(b, b[n - 1] - reach, side="left"))
-        high = len(b) if n == len(b) else int(np.searchsorted(b, b[n] + reach, side="right"))
-        return int(self.first[block][low]), int(self.first[block][high + 1])
 
+def _dealt(width: str, cells: dict[int, list[Cells]], share: float):
+    """Each row to the tiles of its own cell, and to one tile of each cell before it that it visits."""
 
-def _dealt(width: str, cells: dict[int, Cells], reach: float):
     def run(batches):
         for batch in batches:
-            for dim in set(batch.column("dim").to_pylist()):
-                part = batch.filter(pa.array([d == dim for d in batch.column("dim").to_pylist()]))
-                r = rotated(matrix(part.column("body"), width, dim))
-                salt = part.column("cls").to_numpy() * np.int64(0x2545F4914F6CDD1D) >> np.int64(33)
-                for block in range(BLOCKS):
-                    own = cells[dim]
-                    of = own.range_of(block, r[:, block * (r.shape[1] // BLOCKS)])
-                    cell = own.first[block][of] + salt % own.splits[block][of]
-                    for n in np.unique(of):
-                        rows = np.flatnonzero(of == n)
-                        low, high = own.near(block, int(n), reach)
-                        for other in range(low, high):
-                            take = part.take(pa.array(rows))
-                            mine = cell[rows]
-                            yield pa.record_batch({"dim": pa.array(np.full(len(rows), dim), pa.int32()), "block": pa.array(np.full(len(rows), block), pa.int32()), "i": pa.array(np.minimum(mine, other), pa.int32()), "j": pa.array(np.maximum(mine, other), pa.int32()), "cell": pa.array(mine, pa.int32()), "cls": take.column("cls"), "n": take.column("n"), "body": take.column("body")})
+            for dim, part, r in _blocks(batch, width):
+                size, cls = r.shape[1] // BLOCKS, part.column("cls").to_numpy()
+                salt = cls * np.int64(0x2545F4914F6CDD1D) >> np.int64(33)
+                for block, own in enumerate(cells[dim]):
+                    b = r[:, block * size : (block + 1) * size]
+                    leaf = own.leaf_of(b)
+                    home = own.first[leaf] + salt % own.splits[leaf]
+                    tiles = [(np.repeat(np.arange(len(r)), own.chunks[leaf]), np.repeat(home, own.chunks[leaf]), np.arange(own.chunks[leaf].sum()) - np.repeat(np.cumsum(own.chunks[leaf]) - own.chunks[leaf], own.chunks[leaf]), True)]
+                    for other, rows in own.within(b, share):
+                        for cell in range(int(own.first[other]), int(own.first[other + 1])):
+                            if len(guests := rows[home[rows] > cell]):
+                                tiles.append((guests, np.full(len(guests), cell), (salt[guests] >> np.int64(7)) % own.chunks[other], False))
+                    rows, cell, chunk, at_home = (np.concatenate([np.broadcast_to(t[k], len(t[0])) for t in tiles]) for k in range(4))
+                    for at in range(0, len(rows), DEALT_AT_ONCE):
+                        some = slice(at, at + DEALT_AT_ONCE)
+                        take = part.select(["cls", "n", "body"]).take(pa.array(rows[some]))
+                        n = len(rows[some])
+                        yield pa.record_batch({"dim": pa.array(np.full(n, dim), pa.int32()), "block": pa.array(np.full(n, block), pa.int32()), "cell": pa.array(cell[some], pa.int64()), "chunk": pa.array(chunk[some], pa.int64()), "home": pa.array(at_home[some]), "cls": take.column("cls"), "n": take.column("n"), "body": take.column("body")})
 
     return run
 
 
 def _joined(width: str, least: float):
     share = (2 - 2 * least) / BLOCKS + SLACK
-    reach = math.sqrt(share)
+    reach = math.sqrt(share) + MARGIN
 
     def run(tile: pa.Table) -> pa.Table:
-        dim, block, i, j = (tile.column(c)[0].as_py() for c in ("dim", "block", "i", "j"))
-        cell, cls, n = (tile.column(c).to_numpy() for c in ("cell", "cls", "n"))
-        x = matrix(tile.column("body"), width, dim)
-        r = rotated(x)
+        dim, block, chunk = (tile.column(c)[0].as_py() for c in ("dim", "block", "chunk"))
+        cls, n, home = (tile.column(c).to_numpy() for c in ("cls", "n", "home"))
+        x = stored(tile.column("body"), width, dim)
+        del tile
+        r = np.concatenate([rotated(x[at : at + DEALT_AT_ONCE].astype(np.float64)).astype(np.float32) for at in range(0, len(x), DEALT_AT_ONCE)])
         size = r.shape[1] // BLOCKS
-        b = r[:, block * size : (block + 1) * size].astype(np.float32)
-        square = (b.astype(np.float64) ** 2).sum(1).astype(np.float32)
-        at = r[:, block * size]
-        grid = np.floor(r[:, block * size + 1 : block * size + min(size, 3)] / (reach + SLACK)).astype(np.int64)
+        b = np.ascontiguousarray(r[:, block * size : (block + 1) * size])
+        square, at = (b.astype(np.float64) ** 2).sum(1).astype(np.float32), b[:, 0]
+        grid = np.floor(b[:, 1:3].astype(np.float64) / reach).astype(np.int64)
 
         def by_cell(rows: np.ndarray) -> dict[tuple, np.ndarray]:
             """Rows by their cell in the block's next two coordinates, in order of the first."""
             rows = rows[np.argsort(at[rows], kind="stable")]
-            if not grid.shape[1]:
-                return {(): rows}
+            if not grid.shape[1] or not len(rows):
+                return {(): rows} if len(rows) else {}
             named, of = np.unique(grid[rows], axis=0, return_inverse=True)
-            return {tuple(c): rows[of == k] for k, c in enumerate(named.tolist())}
-
-        left, right = by_cell(np.flatnonzero(cell == i)), by_cell(np.flatnonzero(cell == j))
+            order = np.argsort(of, kind="stable")
+            return dict(zip(map(tuple, named.tolist()), np.split(rows[order], np.flatnonzero(np.diff(of[order])) + 1), strict=True))
+
+        def confirm(u: np.ndarray, v: np.ndarray) -> None:
+            apart = (r[u] - r[v]).reshape(len(u), BLOCKS, size)
+            total = apart[:, :, 0] ** 2
+            for k in range(1, size):  # one order of adding for every pair, in whatever tile
+                total += apart[:, :, k] ** 2
+            near = total <= np.float32(share)
+            first = near[:, block] & ~near[:, :block].any(1)
+            u, v = u[first], v[first]
+            linked = cosine(x[u].astype(np.float64), x[v].astype(np.float64)) >= least
+            u, v = u[linked], v[linked]
+            np.add.at(links, u, n[v])
+            np.add.at(links, v, n[u])
+            forest.link(u, v)
 
         def meet(a: np.ndarray, others: np.ndarray, once: bool) -> None:
-            low, high = np.searchsorted(at[others], [at[a[0]] - reach - SLACK, at[a[-1]] + reach + SLACK])
-            to = others[low:high]
-            p, q = np.nonzero(square[a][:, None] + square[to] - 2 * (b[a] @ b[to].T) <= share + 1e-5)
-            p, q = a[p], to[q]
-            if once:
-                p, q = p[p < q], q[p < q]
-            for s in range(0, len(p), PAIRS_AT_ONCE):
-                u, v = p[s : s + PAIRS_AT_ONCE], q[s : s + PAIRS_AT_ONCE]
-                apart = ((r[u] - r[v]) ** 2).reshape(len(u), BLOCKS, size).sum(2) <= share
-                first = apart[:, block] & ~apart[:, :block].any(1)
-                u, v = u[first], v[first]
-                linked = cosine(x[u], x[v]) >= least
-                u, v = u[linked], v[linked]
-                np.add.at(links, u, n[v])
-                np.add.at(links, v, n[u])
-                forest.link(u, v)
+            low, high = np.searchsorted(at[others], [at[a[0]] - np.float32(reach), at[a[-1]] + np.float32(reach)])
+            for start in range(low, high, OTHERS_AT_ONCE):
+                to = others[start : min(high, start + OTHERS_AT_ONCE)]
+                p, q = np.nonzero(square[a][:, None] + square[to] - 2 * (b[a] @ b[to].T) <= share + MARGIN)
+                p, q = a[p], to[q]
+                if once:
+                    p, q = p[p < q], q[p < q]
+                for s in range(0, len(p), PAIRS_AT_ONCE):
+                    confirm(p[s : s + PAIRS_AT_ONCE], q[s : s + PAIRS_AT_ONCE])
 
         steps = list(itertools.product((-1, 0, 1), repeat=grid.shape[1]))
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
-        for of, step in itertools.product(left, steps):
-            mine, others = left[of], right.get(tuple(c + d for c, d in zip(of, step, strict=True)))
-            if others is None or (i == j and step < (0,) * len(step)):
+        own, guests = by_cell(np.flatnonzero(home)), by_cell(np.flatnonzero(~home))
+        for right, same in ((own, True), (guests, False)):
+            if same and chunk:  # the cell's own pairs count in its first tile
                 continue
-            once = i == j and not any(step)
-            for k in range(0, len(mine), ROWS_AT_ONCE):
-                meet(mine[k : k + ROWS_AT_ONCE], others, once)
+            for of, step in itertools.product(own, steps):
+                others = right.get(tuple(c + d for c, d in zip(of, step, strict=True)))
+                if others is None or (same and step < (0,) * len(step)):
+                    continue
+                for k in range(0, len(own[of]), ROWS_AT_ONCE):
+                    meet(own[of][k : k + ROWS_AT_ONCE], others, same and not any(step))
         some = np.flatnonzero(links)
         return pa.table([cls[some], links[some], cls[forest.root[some]]], schema=LINKS)
 
@@ -168,24 +250,25 @@ def near_vectors(rows: DataFrame, least: float = 0.95, vec_id: str = "vec_id", e
     every, width = vectors(rows, vec_id, embedding)
     spark = rows.sparkSession
     classes = table(every.filter("body is not null").groupBy("dim", "body").agg(F.min("uid").alias("cls"), F.min("vec_id").alias("least_id"), F.count("*").alias("n")), "classes")
-    reach = math.sqrt((2 - 2 * least) / BLOCKS + SLACK) + SLACK
-    first = table(classes.select("dim", "body").mapInArrow(_coordinates(width), "dim int, block int, at double"), "coordinates")
-    cells: dict[int, Cells] = {}
+    share = (2 - 2 * least) / BLOCKS + MARGIN
+    bytes_of, cells = np.dtype(width).itemsize, {}
     for dim, count in classes.groupBy("dim").count().collect():  # a row per dimension
-        parts = math.ceil(count / RANGE_ROWS)
-        own = first.filter(F.col("dim") == dim)
-        cuts = [i / parts for i in range(1, parts)]
-        bounds: list[list[float]] = [[] for _ in range(BLOCKS)]
-        if cuts:
-            for r in own.groupBy("block").agg(F.percentile_approx("at", cuts, 100 * parts).alias("cuts")).collect():  # a row per block
-                bounds[r["block"]] = sorted(set(r["cuts"]))
-        edges = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]).cast("array<double>") for b in bounds]), F.col("block") + 1)
-        counts = [[0] * (len(b) + 1) for b in bounds]
-        for r in own.groupBy("block", F.size(F.filter(edges, lambda x: x <= F.col("at"))).alias("range")).count().collect():  # a row per range
-            counts[r["block"]][r["range"]] = r["count"]
-        cells[dim] = Cells(bounds, counts)
-    tiles = classes.select("dim", "cls", "n", "body").mapInArrow(_dealt(width, cells, reach), "dim int, block int, i int, j int, cell int, cls long, n long, body binary")
-    found = table(tiles.groupBy("dim", "block", "i", "j").applyInArrow(_joined(width, least), "cls long, links long, root long"), "links") if cells else spark.createDataFrame([], "cls long, links long, root long")
+        most, size = max(1, min(RANGE_ROWS, RANGE_BYTES // (dim * bytes_of))), max(1, (1 << (dim - 1).bit_length()) // BLOCKS)
+        r = np.zeros((0, BLOCKS * size))
+        if count > most:  # SAMPLE_BYTES at most
+            sample = classes.filter(F.col("dim") == dim).select("body").orderBy(F.xxhash64("body"), "body").limit(max(16, min(SAMPLE_ROWS, SAMPLE_BYTES // (dim * bytes_of)))).toArrow()
+            r = rotated(matrix(sample.column("body"), width, dim))
+        cells[dim] = [Cells(r[:, k * size : (k + 1) * size], count, most) for k in range(BLOCKS)]
+        if count > most:
+            tally = classes.filter(F.col("dim") == dim).select("dim", "body").mapInArrow(_tallied(width, cells, share), "dim int, block int, leaf long, home long, visits long").groupBy("block", "leaf").agg(F.sum("home").alias("home"), F.sum("visits").alias("visits")).collect()  # a row per leaf
+            for k, own in enumerate(cells[dim]):
+                home, visits = np.zeros((2, own.leaves), np.int64)
+                for t in tally:
+                    if t["block"] == k:
+                        home[t["leaf"]], visits[t["leaf"]] = t["home"], t["visits"]
+                own.sized(home, visits, most)
+    tiles = classes.select("dim", "cls", "n", "body").mapInArrow(_dealt(width, cells, share), "dim int, block int, cell long, chunk long, home boolean, cls long, n long, body binary")
+    found = table(tiles.groupBy("dim", "block", "cell", "chunk").applyInArrow(_joined(width, least), "cls long, links long, root long"), "links") if cells else spark.createDataFrame([], "cls long, links long, root long")
     counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = table(components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))), "roots")
     own = classes.select("cls", "body", "dim", "n", "least_id").join(counted, "cls", "left").join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

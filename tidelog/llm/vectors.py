@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.llm.common import column as named
 from tidelog.llm.common import table
 
 
@@ -37,14 +37,25 @@ def vectors(rows: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, st
     kind = rows.schema[embedding].dataType
     width = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
     element = "float" if width == "<f4" else "double"
-    plain = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{element}>").alias("embedding"))
+    plain = rows.select(named(vec_id).cast("long").alias("vec_id"), named(embedding).cast(f"array<{element}>").alias("embedding"))
     return table(plain.mapInArrow(_rows(width), "uid long, vec_id long, dim int, body binary"), "vectors"), width
 
 
+def stored(column, width: str, dim: int) -> np.ndarray:
+    """The bodies as rows of the components' own type."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), width).reshape(-1, dim)
+
+
 def matrix(column, width: str, dim: int) -> np.ndarray:
     """The bodies as rows of doubles."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), width).reshape(-1, dim).astype(np.float64)
+    return stored(column, width, dim).astype(np.float64)
+
+
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of doubles, each divided by the power of two that brings its largest component to 1/2 or more and below 1, which changes no digit; and the exponents. Products of such rows neither overflow nor vanish."""
+    exponent = np.frexp(np.abs(x).max(1))[1]
+    return np.ldexp(x, -exponent[:, None]), exponent
 
 
 def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:

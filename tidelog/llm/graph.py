@@ -67,26 +67,35 @@ def _stamp(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Gives id, root for every id in an edge between two different ids; root is the component's least id.
 
-    Alternating large and small stars (Kiveris and others, 2014): a step hangs each node's neighbours on the least of them.
-    Before and after each round every task contracts the edges that it holds to a spanning forest, so there are never more of them than nodes in a
-    task's share, however many links a group has. Every step is an aggregation to a minimum, which starts inside the tasks, and inner joins on a
+    Each task contracts the EDGES_AT_ONCE edges that it takes to a spanning forest, so there are never more of them than nodes in its share,
+    however many links a group has. While they fill more than one task, alternating large and small stars (Kiveris and others, 2014) hang each node's
+    neighbours on the least of them and the tasks contract again: a step is an aggregation to a minimum, which starts inside the tasks, and inner joins on a
     node, which Spark's skew join splits where a node has many neighbours. Each round is written to the shared folder. Nothing is collected but the
     edge set's count and checksum. No edges: no rows.
     """
-    e = table(edges.select("a", "b").filter(F.col("a") != F.col("b")).mapInArrow(_contracted, "a long, b long").distinct(), "edges")
-    before, now = None, _stamp(e)
-    while now != before and now[0]:
+    e, before = table(edges.select("a", "b").filter(F.col("a") != F.col("b")), "edges"), None
+    parts = _tasks(e.count())
+    while True:
+        e = table(e.coalesce(parts).mapInArrow(_contracted, "a long, b long"), "forest")
+        if parts == 1:  # one task has seen all edges
+            break
+        if (now := _stamp(e)) == before:
+            break
+        before, parts = now, _tasks(now[0])
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = table(small.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
-        before, now = now, _stamp(e)
+        e = table(small.distinct(), "edges")
     roots = e.select("a", "b")
     return roots.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def _tasks(edges: int) -> int:
+    return max(1, -(-edges // EDGES_AT_ONCE))
+
+
 def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """The components (id, root) after further edges (a, b): only the edges between components found before are looked at."""
     of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))

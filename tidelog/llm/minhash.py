@@ -8,7 +8,7 @@ the estimate from equal registers, less the expected accidental ones, comes with
 confirmed on the full shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other. In a bucket of a band, each class is compared with
-one leader, the first of them in one order for all bands; a class first with the first of its leaders, then with those that are still
+one leader, the first of them in one order for all bands; a class first with the first of its leaders, then, together with what follows, with those that are still
 in other components. A group of near copies mostly has the same few leaders in all its bands, so a class has one pair or a few to compare, not one for each band. Links from these give components. Where a bucket of three or more holds more than
 one component, its pairs across components are compared: all of a small bucket's; of a large one's, in tiles of bounded size, first the likeliest
 partner of each member, and then all that are left inside the tiles, which carry the sets, compare them whole and return a
@@ -185,17 +185,25 @@ def _rivals(x: int, rows: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: n
 
 
 def _likeliest(similarity: float):
-    """For each member of a tile that has rivals in it, the PARTNERS ones of best estimate: x < y, and whether there are more."""
+    """For each member of a tile that has rivals in it, unless it belongs to the tile's largest component, the PARTNERS ones of best estimate: x < y, and whether there are more.
+    Members of the largest component have a row without a pair: their rivals look for them."""
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("cls")
         cls, comp, n, chunk = (tile.column(c).to_numpy() for c in ("cls", "comp", "n", "chunk"))
         sketch, key = _matrix(tile.column("sketch")), tile.column("key")[0].as_py()
         i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        named, sizes = np.unique(comp, return_counts=True)
+        largest = named[sizes.argmax()]
         sides, found = [np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)], []
         for own, others in (sides,) if i == j else (sides, sides[::-1]):
             for x in own:
                 to = _rivals(x, others, comp, n, sketch, similarity)
+                if not len(to):
+                    continue
+                if comp[x] == largest:
+                    found.append((key, cls[x], None, None, False))
+                    continue
                 if more := len(to) > PARTNERS:
                     to = to[np.lexsort((cls[to], -estimate(sketch[x][None], sketch[to], n[x], n[to])[0]))[:PARTNERS]]
                 found += [(key, cls[x], min(cls[x], c), max(cls[x], c), more) for c in cls[to]]
@@ -295,20 +303,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     buckets = table(banded.join(met, "key"), "buckets")
     led = table(buckets.filter("cls != leader").select("cls", "leader").distinct(), "led")
     source = rows.select("tkey", "text")
-    first = table(led.groupBy("cls").agg(F.min(F.struct(F.xxhash64("leader"), "leader")).alias("first")).select(*_pair("cls", "first.leader")), "first")
+    first = table(led.groupBy("cls").agg(F.min(F.struct(F.xxhash64("leader"), "leader")).alias("first")).select("cls", F.col("first.leader").alias("leader")).select(*_pair("cls", "leader")).distinct(), "first")
     roots = table(components(_confirmed(first, classes, source, width, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    rest = table(_apart(led, roots).select(*_pair("cls", "leader")).join(first, ["x", "y"], "left_anti").distinct(), "rest")
-    new = table(_confirmed(rest, classes, source, width, percent), "links")
-    if not new.isEmpty():
-        roots = table(joined(roots, new.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-
+    rest = _apart(led, roots).select(*_pair("cls", "leader"))
     own = classes.select("cls", F.col("n_shingles").alias("n"), "sketch")
     open_ = _open(buckets, roots)
     few = open_.filter(F.col("members") <= SMALL_BUCKET)
     small = few.select("key", F.col("cls").alias("x"), F.col("comp").alias("cx")).join(few.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy")), "key").filter("x < y and cx != cy").select("x", "y")
     many = open_.filter(F.col("members") > SMALL_BUCKET).join(own, "cls").withColumn("shingles", F.lit(0))
     likely = table(_tiles(many, "comp", "n", "sketch").groupBy("key", "i", "j").applyInArrow(_likeliest(percent / 100), "key long, member long, x long, y long, more boolean"), "likely")
-    more = small.unionByName(likely.select("x", "y")).distinct().join(first.unionByName(rest), ["x", "y"], "left_anti")
+    more = rest.unionByName(small).unionByName(likely.filter("x is not null").select("x", "y")).distinct().join(first, ["x", "y"], "left_anti")
     new = table(_confirmed(table(more, "more"), classes, source, width, percent), "links")
     if not new.isEmpty():
         roots = table(joined(roots, new.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")

@@ -71,7 +71,7 @@ def write_first(path: str, start_us: int, report: Report) -> None:
 def batches(rows: DataFrame, size: int, order: str = "sequence") -> DataFrame:
     """session, batch, first_us, records: rows of a session in batches of `size` by order. rows: session, order and timestamp_us; order runs on without gaps in a session."""
     low = rows.groupBy("session").agg(F.min(order).alias("low"))
-    return rows.join(F.broadcast(low), "session").groupBy("session", F.floor((F.col(order) - F.col("low")) / size).cast("bigint").alias("batch")).agg(F.min("timestamp_us").alias("first_us"), F.count("*").alias("records"))
+    return rows.join(low, "session").groupBy("session", F.floor((F.col(order) - F.col("low")) / size).cast("bigint").alias("batch")).agg(F.min("timestamp_us").alias("first_us"), F.count("*").alias("records"))
 
 
 def commits_by_count(b: DataFrame, every: int) -> DataFrame:

@@ -43,10 +43,15 @@ def replay(spark: SparkSession, path: str, low: int = 0, high: int = layout.U64_
     return Replay(records(spark, path, start, end, unsigned), report, end - start)
 
 
+def points(path: str, sequences: list[int], report: Report) -> list[int | None]:
+    """The record index of each sequence in the valid prefix, None where it holds no such record. The report of one validation serves any number of lookups."""
+    first = shape(path)[3]
+    return [s - first if first <= s < first + report.valid_records else None for s in sequences]
+
+
 def point(spark: SparkSession, path: str, sequence: int) -> int | None:
     """The record index of a sequence in the valid prefix."""
-    found = replay(spark, path, sequence, sequence)
-    return sequence - shape(path)[3] if found.count else None
+    return points(path, [sequence], validate(path, spark))[0]
 
 
 def summary(rows: DataFrame, report: Report, prefix: str = "") -> DataFrame:

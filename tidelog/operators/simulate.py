@@ -27,6 +27,11 @@ CRUISE_HEADING = 0.08
 TRACKING = ((0.12, 0.6, 0.0), (0.18, 0.45, 0.0), (0.22, 8.0, -math.inf), (0.16, 0.8, 20.0), (0.20, 4.0, 0.0))  # factor, noise, floor
 SPIKE, DROP, GLITCH = (110, 150, 9), (220, 250, 4), (155, 205, 3)
 START = (340.0, 0.0, 0.0, 30.0, 0.0)
+START_HEADING, TURN_STEP, TURN_WAVE, TURN_SIZE = 74.0, 0.065, 0.18, 0.05
+SPIKE_RISE, SPIKE_SLOPE, SPIKE_PEAK = 28.0, 4.2, 4.0
+DROP_ALTITUDE, DROP_VERTICAL = 45.0, 650.0
+GLITCH_EVEN, GLITCH_ODD, GLITCH_HEADING = 18.0, -14.0, 8.0
+HOT_ENGINE, OIL_RPM, OIL_TEMPERATURE = 675.0, 850.0, 80.0
 
 
 def profile_index(n: Column) -> Column:
@@ -75,12 +80,12 @@ class Simulator:
 
     def __post_init__(self) -> None:
         self.rng = np.random.default_rng(self.seed)
-        self.values, self.heading, self.turn, self.index, self.last = list(START), 74.0, 0.0, 0, "Startup"
+        self.values, self.heading, self.turn, self.index, self.last = list(START), START_HEADING, 0.0, 0, "Startup"
         self.spike, self.drop, self.glitch = (int(self.rng.integers(a, b + 1)) for a, b, _ in (SPIKE, DROP, GLITCH))
 
     def next_sample(self, timestamp_us: int, overrun: bool = False) -> tuple:
         name, progress = PLACES[self.index]
-        self.turn += 0.065
+        self.turn += TURN_STEP
         if name == "Cruise":
             targets, rate = [base + math.sin(self.turn * f) * size for base, f, size in WAVES], CRUISE_HEADING
         else:
@@ -88,23 +93,23 @@ class Simulator:
             targets = [a + (b - a) * progress for a, b in ramps]
         noise = self.rng.uniform(-1.0, 1.0, 5)
         self.values = [max(floor, v + (t - v) * k + n * size) for v, t, n, (k, size, floor) in zip(self.values, targets, noise, TRACKING, strict=True)]
-        self.heading = (self.heading + rate + math.sin(self.turn * 0.18) * 0.05) % 360
+        self.heading = (self.heading + rate + math.sin(self.turn * TURN_WAVE) * TURN_SIZE) % 360
         status = STATUS["nominal"] | (STATUS["flight_phase_transition"] if name != self.last else 0)
         within = lambda start, length: start <= self.index < start + length
         alt, ias, vs, temp, rpm = self.values
         if within(self.spike, SPIKE[2]):
-            temp += 28.0 - abs(4.0 - (self.index - self.spike)) * 4.2
+            temp += SPIKE_RISE - abs(SPIKE_PEAK - (self.index - self.spike)) * SPIKE_SLOPE
             status |= STATUS["engine_warning"]
         if within(self.drop, DROP[2]):
-            alt, vs = max(0.0, alt - 45.0), vs - 650.0
+            alt, vs = max(0.0, alt - DROP_ALTITUDE), vs - DROP_VERTICAL
             status |= STATUS["altitude_deviation"]
         if within(self.glitch, GLITCH[2]):
-            ias += 18.0 if self.index % 2 == 0 else -14.0
-            self.heading = (self.heading + 8.0) % 360
+            ias += GLITCH_EVEN if self.index % 2 == 0 else GLITCH_ODD
+            self.heading = (self.heading + GLITCH_HEADING) % 360
             status |= STATUS["sensor_glitch"] | STATUS["pitot_disagree"]
-        if temp > 675.0:
+        if temp > HOT_ENGINE:
             status |= STATUS["engine_warning"]
-        if name == "Startup" and rpm > 850.0 and temp < 80.0:
+        if name == "Startup" and rpm > OIL_RPM and temp < OIL_TEMPERATURE:
             status |= STATUS["low_oil_pressure"]
         if overrun:
             status |= STATUS["recorder_buffer_overrun"]
@@ -118,8 +123,8 @@ class Simulator:
 SAMPLES = "session bigint, sample bigint, timestamp_us bigint, altitude_m double, airspeed_kts double, heading_deg double, vertical_speed_fpm double, engine_temperature_c double, engine_rpm double, system_status bigint"
 
 
-def sessions(spark: SparkSession, seeds: list[int], samples: int, hertz: float = 20.0, start_us: int = 0) -> DataFrame:
-    """Samples of a session for each seed, folded side by side."""
+def sessions(spark: SparkSession, seeds: list[int] | DataFrame, samples: int, hertz: float = 20.0, start_us: int = 0) -> DataFrame:
+    """Samples of a session for each seed (a list, or a column session), folded side by side."""
     period = max(1, int(1_000_000 / hertz))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,4 +132,5 @@ def sessions(spark: SparkSession, seeds: list[int], samples: int, hertz: float =
         sim = Simulator(seed)
         return pd.DataFrame([(seed, i, *sim.next_sample(start_us + i * period)) for i in range(samples)], columns=[c.split()[0] for c in SAMPLES.split(", ")])
 
-    return spark.createDataFrame([(s,) for s in seeds], "session bigint").groupBy("session").applyInPandas(fold, SAMPLES)
+    seeds = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(s,) for s in seeds], "session bigint")
+    return seeds.groupBy("session").applyInPandas(fold, SAMPLES)

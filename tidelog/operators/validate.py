@@ -92,8 +92,9 @@ def raw_scan(spark: SparkSession, path: str, **options: object) -> DataFrame:
     return spark.read.format("telemetrylog").options(path=path, **{k: str(v).lower() for k, v in options.items()}).load()
 
 
-def _first_bad(spark: SparkSession, path: str) -> dict | None:
-    bad = raw_scan(spark, path, only_bad=True).agg(F.min_by(F.struct("record_index", schema.unsigned(F.col("sequence")).alias("sequence"), "meta_ok", "crc_ok", "tail_kind"), "record_index").alias("bad")).first()["bad"]
+def _first_bad(spark: SparkSession, path: str, task_records: int | None) -> dict | None:
+    sized = {} if task_records is None else {"task_records": task_records}
+    bad = raw_scan(spark, path, only_bad=True, **sized).agg(F.min_by(F.struct("record_index", schema.unsigned(F.col("sequence")).alias("sequence"), "meta_ok", "crc_ok", "tail_kind"), "record_index").alias("bad")).first()["bad"]
     return bad and {"index": bad["record_index"], "sequence": int(bad["sequence"] or 0), "meta_ok": bad["meta_ok"], "crc_ok": bad["crc_ok"], "tail_kind": bad["tail_kind"]}
 
 
@@ -101,14 +102,14 @@ def _exists(path: str) -> bool:
     return "://" in path and not path.startswith("file:") or os.path.exists(local(path))
 
 
-def validate(path: str, spark: SparkSession | None = None) -> Report:
-    """Checks a log and changes nothing. With a session, logs beyond SMALL_BYTES are checked by tasks."""
+def validate(path: str, spark: SparkSession | None = None, task_records: int | None = None) -> Report:
+    """Checks a log and changes nothing. With a session, logs beyond SMALL_BYTES are checked by tasks, and those of any size are where task_records says how many records a task takes."""
     if not _exists(path):
         return Report(True, message="Log file not present")
     size, head, whole, first = shape(path)
     if fault := layout.header_fault(head):
         return Report(corruption_detected=True, bytes_scanned=len(head), message=fault)
-    bad = _first_bad_local(path, size, whole, first) if spark is None or size <= SMALL_BYTES else _first_bad(spark, path)
+    bad = _first_bad_local(path, size, whole, first) if spark is None or (task_records is None and size <= SMALL_BYTES) else _first_bad(spark, path, task_records)
     return _described(size, whole, first, bad)
 
 

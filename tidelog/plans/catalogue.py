@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import layout, schema
-from tidelog.operators import checkpoint, faults, metrics, recovery, replay, simulate, validate
+from tidelog.operators import checkpoint, metrics, recovery, replay, simulate, validate
+from tidelog.plans import cases
 from tidelog.plans.fixtures import START_US, TELEMETRY_SQL, damaged, events_log, telemetry
 from tidelog.streaming.queue_model import simulate as simulate_queue
 
@@ -191,17 +192,12 @@ def simulate_phases(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.phase_rows(spark, spark.read.parquet(f"{sf}/events.parquet").count())
 
 
-def simulate_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.sessions(spark, [42, 43, 44, 45], 600)
-
-
-def crash_case_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return faults.case_grid(spark)
-
-
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences at every tenth of the log, and those beside its ends, which have index -1."""
     path = events_log(spark, sf)
-    return spark.createDataFrame([(s, replay.point(spark, path, s)) for s in (1, 77, 500)], "sequence bigint, record_index bigint")
+    report = validate.validate(path, spark)
+    asked = sorted({0, 1, report.valid_records + 1, *(max(1, report.valid_records * k // 10) for k in range(1, 11))})
+    return spark.createDataFrame([(s, -1 if i is None else i) for s, i in zip(asked, replay.points(path, asked, report), strict=True)], "sequence bigint, record_index bigint")
 
 
 _ALL = "sequence, timestamp_us, altitude_m, airspeed_kts, heading_deg, vertical_speed_fpm, engine_temperature_c, engine_rpm, system_status"
@@ -257,7 +253,7 @@ _QUERIES: dict[str, tuple] = {
     "table_lines": (table_lines, f"{WITH} SELECT sequence, " + " || ".join(_cell(c) for c in layout.COLUMNS) + " AS line FROM t"),
     "summary_line": (summary_line, f"{WITH} SELECT 'summary total_valid_records=' || count(*) || ' invalid_corrupt_records=0 checksum_failures=0 first_timestamp_us=' || arg_min(timestamp_us, sequence) || ' last_timestamp_us=' || arg_max(timestamp_us, sequence) || " + " || ".join(f"printf(' {f}_{n}=%.2f', {f}({c}))" for c, n in replay.EXTREMES.items() for f in ("min", "max")) + " AS line FROM t"),
     "status_counts": (status_counts, f"{WITH} SELECT flag, count(*) AS records FROM t, (SELECT unnest(CAST({list(layout.STATUS.values())} AS BIGINT[])) AS flag) WHERE system_status & flag <> 0 GROUP BY flag"),
-    "point_lookup": (point_lookup, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT)), (77, 76), (500, 499)) v(sequence, record_index)"),
+    "point_lookup": (point_lookup, f"{WITH} SELECT DISTINCT CAST(s AS BIGINT) AS sequence, CASE WHEN s BETWEEN 1 AND n THEN CAST(s - 1 AS BIGINT) ELSE -1 END AS record_index FROM (SELECT n, unnest([0, 1, n + 1] || list_transform(range(1, 11), lambda k: greatest(1, n * k // 10))) AS s FROM n)"),
     "commit_groups_count": (commit_groups_count, f"{_BATCH_SQL} SELECT session, batch // 4 AS \"commit\", count(*) AS batches, CAST(sum(records) AS BIGINT) AS records FROM b GROUP BY 1, 2"),
     "commit_groups_timer": (commit_groups_timer, f"{_BATCH_SQL}, g AS (SELECT batch, CAST(0 AS BIGINT) AS c, first_us AS opened, 1 AS taken FROM b WHERE batch = 0 UNION ALL SELECT b.batch, CASE WHEN b.first_us >= g.opened + 7200000000 OR g.taken = 4 THEN g.c + 1 ELSE g.c END, CASE WHEN b.first_us >= g.opened + 7200000000 OR g.taken = 4 THEN b.first_us ELSE g.opened END, CASE WHEN b.first_us >= g.opened + 7200000000 OR g.taken = 4 THEN 1 ELSE g.taken + 1 END FROM g JOIN b ON b.batch = g.batch + 1) SELECT CAST(1 AS BIGINT) AS session, c AS \"commit\", min(batch) AS first_batch, count(*) AS batches, CAST(sum(records) AS BIGINT) AS records FROM g JOIN b USING (batch) GROUP BY c"),
     "checkpoint_slots": (checkpoint_slots, f"{WITH} SELECT CAST({START_US} AS BIGINT) AS recorder_start_time_us, 24 + 84 * n AS committed_length, n AS record_count, n AS last_sequence, true AS slot_valid FROM n"),
@@ -271,9 +267,9 @@ _QUERIES: dict[str, tuple] = {
     "trial_aggregate": (trial_aggregate, "SELECT count(*) = 5 AS accepted, count(*) AS valid_trials, string_agg(r, ',' ORDER BY trial) AS records_per_second, string_agg(lo, ',' ORDER BY trial) AS min_window, string_agg(hi, ',' ORDER BY trial) AS write_p99_ns, string_agg(e, ',' ORDER BY trial) AS sync_p99_ns FROM (SELECT event_id % 5 AS trial, CAST(count(*) AS VARCHAR) AS r, CAST(min(user_id) AS VARCHAR) AS lo, CAST(max(user_id) AS VARCHAR) AS hi, CAST(max(event_id) AS VARCHAR) AS e FROM events GROUP BY 1)"),
     "sequence_islands": (sequence_islands, "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE turn % 7 <> 3) GROUP BY conv_id, island"),
     "simulate_phases": (simulate_phases, "WITH s AS (SELECT event_id AS sample, CASE WHEN event_id < 335 THEN event_id ELSE 115 + (event_id - 115) % 220 END AS i FROM events), p AS (SELECT sample, i AS profile_index, CASE WHEN i < 25 THEN 'Startup' WHEN i < 45 THEN 'Takeoff' WHEN i < 115 THEN 'Climb' WHEN i < 235 THEN 'Cruise' WHEN i < 300 THEN 'Descent' ELSE 'Landing' END AS phase FROM s) SELECT sample, profile_index, phase, coalesce(phase <> lag(phase) OVER (ORDER BY sample), false) AS transition FROM p"),
-    "simulate_sessions": (simulate_sessions, None),
-    "drop_accounting": (drop_accounting, None),
-    "crash_case_grid": (crash_case_grid, None),
+    "drop_accounting": (drop_accounting, cases.DROPS_SQL),
+    **cases.QUERIES,
+    "valid_prefix_tasks": (cases.valid_prefix_tasks, _HALF),
 }
 
 

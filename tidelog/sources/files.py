@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,12 +33,15 @@ def local(path: str) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or a temporary one under a local master."""
+    """A fresh folder that driver and executors share, removed when this Python ends: below spark.checkpoint.dir, or a temporary one under a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         folder = f"{local(shared.rstrip('/'))}/tidelog/log-{uuid.uuid4().hex}"
         os.makedirs(folder)
+        atexit.register(shutil.rmtree, folder, True)
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tidelog-")
+    folder = tempfile.mkdtemp(prefix="tidelog-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder

@@ -106,3 +106,31 @@ def test_dual_meets_the_constraint(spark):
     words = {(r["s_name"], r["bin"]): r["words"] for r in frame.collect()}
     for s, t in (("x", 700.0), ("y", 139.9)):
         assert sum(r["rate"] * words[s, r["bin"]] for r in got if r["s_name"] == s) == pytest.approx(t, rel=1e-9)
+
+
+def test_copies_of_one_partition_are_scattered(spark):
+    df = spark.range(3000).selectExpr("7L AS doc_id", "'the same text' AS text").coalesce(1)
+    counts = [r["count"] for r in sharding.shuffle_into_shards(df, bucket_bytes=1_000).groupBy("bucket").count().collect()]
+    assert sum(counts) == 3000 and max(counts) < 160  # some 70 a bucket
+
+
+def test_cells_of_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 50)
+    df = spark.range(1000).selectExpr("7L AS doc_id", "'a b c d' AS text", "'s' AS source").unionByName(spark.range(500).selectExpr("id AS doc_id", "'x y' AS text", "'t' AS source"))
+    rows = mixing.mix(df).selectExpr("record.source", "copies * size AS taken", "target").collect()
+    for s, n in (("s", 4), ("t", 2)):
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2 * n and max(r["taken"] for r in own) <= 2 * n
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two", "s", 5, 6), (2, None, None, 7, 8)], "doc_id bigint, text string, source string, `a.b` int, `c``d e` int")
+    assert sorted(r["a.b"] for r in sharding.shuffle_into_shards(df).select("record.*").collect()) == [5, 7]
+    assert sorted(r["a.b"] for r in mixing.mix(df).select("record.*").collect()) == [5, 7]
+
+
+def test_shards_of_many_blocks_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    df = spark.range(500).selectExpr("id AS doc_id", "'ten letters' AS text")
+    places = sorted(r["slot"] * 8 + r["shard"] for r in sharding.shuffle_into_shards(df, bucket_bytes=500).collect())
+    assert places == list(range(500))

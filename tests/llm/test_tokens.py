@@ -154,3 +154,26 @@ def test_reading_selects_the_starts_of_each_batch(tmp_path, monkeypatch):
 
 def test_token_files_of_nothing(spark, tmp_path):
     assert read_token_files(write_token_files(awkward(spark, []), str(tmp_path), WORDS)).count() == 0
+
+
+def test_damaged_ids_and_small_files(spark, tmp_path, monkeypatch):
+    from tidelog.llm import token_files as tf
+
+    monkeypatch.setattr(tf, "FILE_BYTES", 200)
+    manifest = write_token_files(awkward(spark), f"file://{tmp_path}/tokens", WORDS)
+    files = [r["path"] for r in manifest.collect()]
+    assert len(files) > 4 and read_token_files(manifest).count() == len(TEXTS)
+    path = files[0].removeprefix("file://")
+    raw = bytearray(open(path, "rb").read())  # noqa: SIM115
+    raw[0] ^= 1
+    with open(path, "wb") as f:
+        f.write(raw)
+    with pytest.raises(Exception, match="differ from their CRC"):
+        read_token_files(manifest).collect()
+
+
+def test_schemes_that_workers_cannot_reach_are_named():
+    from tidelog.llm.common import filesystem
+
+    with pytest.raises(ValueError, match="file, hdfs, s3, s3a or gs"):
+        filesystem("wasbs://c@a/x")

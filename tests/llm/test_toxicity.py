@@ -120,3 +120,62 @@ def test_held_out_accuracy(spark):
     of = {y: [r["score"] for r in rows if r["toxic"] == y] for y in (0, 1)}
     auc = np.mean([(a > b) + 0.5 * (a == b) for a, b in itertools.product(of[1], of[0])])
     assert auc > 0.85 and sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(of[0])
+
+
+def plain_features(text, terms):
+    """Matches by distances to every term, and the sums over them, word by word; for texts without marks inside words."""
+    words, places = [], []
+    lower, at = text.lower(), 0
+    for token in lower.split(" "):
+        core = token.strip("\"")
+        if core:
+            words.append(core)
+            places.append(at + token.index(core))
+        at += len(token) + 1
+    hits = {}
+    for i, w in enumerate(words):
+        if w in terms:
+            hits[i] = (0, terms[w])
+            continue
+        near = sorted((t.allowed(x), distance(w, x), x) for x in terms if t.allowed(x) and len(w) > 3 and distance(w, x) <= t.allowed(x))
+        same = [x for _, _, x in near if x[0] == w[0]]
+        if near:
+            hits[i] = (1, terms[same[0]]) if same else (3, terms[near[0][2]])
+    out = np.zeros(t.FEATURES)
+    out[0] = 1
+    if not hits:
+        return out
+    counts, quoted, pointed = [0.0] * 4, 0, 0
+    for i, (kind, _) in hits.items():
+        near = range(max(0, i - t.WINDOW), min(len(words), i + t.WINDOW + 1))
+        cited = any(words[k] in t.REPORTING or words[k] in t.NEGATION for k in near)
+        end = places[i] + len(words[i])
+        cited |= places[i] > 0 and lower[places[i] - 1] == '"' and '"' in lower[end : end + 2]
+        counts[kind] += 0.5 if cited else 1
+        quoted += cited
+        pointed += any(words[k] in t.ADDRESS for k in near) or any(k in hits for k in near if k != i)
+    out[1:] = [np.log1p(counts[0]), np.log1p(counts[1]), 0, max(w for _, w in hits.values()), np.sqrt(len(hits) / len(words)), quoted / len(hits), pointed / len(hits), np.log1p(len({words[i] for i in hits})), np.log1p(counts[3])]
+    return out
+
+
+def test_features_against_plain_ones():
+    rng = random.Random(6)
+    terms = {w: 1.0 + k / 10 for k, w in enumerate(["idiot", "scum", "pathetic", "imbecile", "worthless"])}
+    lexicon = t.Lexicon(terms, {}, list(terms))
+    other = "you said not the house river stone walks green mountain quickly they never wrote a word about pathways worth idle".split()
+    for _ in range(400):
+        words = []
+        for _ in range(rng.randrange(0, 40)):
+            w = rng.choice(other) if rng.random() < 0.8 else rng.choice(list(terms))
+            if w in terms and rng.random() < 0.5:
+                at = rng.randrange(len(w))
+                w = w[:at] + rng.choice(["", "x", w[at] + "z"]) + w[at + 1 :]
+            words.append(f'"{w}"' if rng.random() < 0.1 else w)
+        text = " ".join(words)
+        assert np.allclose(t.features(text, lexicon), plain_features(text, terms)), text
+
+
+def test_texts_of_megabytes_are_scored_whole():
+    lexicon = t.Lexicon({"idiot": 3.0}, {}, ["idiot"])
+    text = "a fine house by the river " * 100_000
+    assert not t.features(text, lexicon)[1:].any() and t.features(text + "you idiot", lexicon)[1] > 0

@@ -95,10 +95,21 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def filesystem(uri: str):
-    """pyarrow's file system of a URI or a path, and the path there."""
+    """pyarrow's file system of a URI or a path, and the path there. Files that workers write themselves go to file, hdfs (with its client library), s3, s3a or gs."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    scheme = uri.partition(":")[0]
+    if scheme not in ("file", "hdfs", "s3", "s3a", "gs"):
+        raise ValueError(f"workers can't write files to {scheme}: set spark.checkpoint.dir to a folder of file, hdfs, s3, s3a or gs")
+    return fs.FileSystem.from_uri("s3" + uri[3:] if scheme == "s3a" else uri)
+
+
+def estimated_bytes(df: DataFrame, text: str) -> int:
+    """About the bytes that the rows take: what Spark's statistics say of files, without reading any; the texts' lengths where they know nothing, as for rows that are no files or come from joins."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return told if told < 1 << 50 else df.agg(F.coalesce(F.sum(F.octet_length(column(text))), F.lit(0))).first()[0]
 
 
 _held: dict = {"owner": None}

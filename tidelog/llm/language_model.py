@@ -16,7 +16,7 @@ probabilities add up to one at most but for false marks. The HEAD most frequent
 The base score is exact for every word: the words outside HEAD are joined with the table of all counts.
 
 Defined cases: null and empty texts are one end; a null doc_id counts for training; no training text: N = V = 0; repeated rows
-count and score each; an empty table gives no rows; other columns are left out. Words and pairs are known by 64-bit hashes.
+count and score each; a text of any length is counted and scored whole, by one task; an empty table gives no rows; other columns are left out, whatever their names. Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import claim, documents, filesystem, fold, fresh_dir, give_back, table
+from tidelog.llm.common import claim, column, documents, filesystem, fold, fresh_dir, give_back, slices, table
 from tidelog.llm.words import hashed, mixed, words
 
 HEAD = 1 << 18
@@ -127,8 +127,8 @@ def _counts(bits: int):
             yield flushed(1, *added(np.concatenate([word_key(keys), seen]), np.concatenate([counts, times])))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                h, token, starts = tokens(batch.column(0).slice(at, DOCS_AT_ONCE))
+            for part in slices(batch.column(0), DOCS_AT_ONCE):
+                h, token, starts = tokens(part)
                 times = np.bincount(token, minlength=len(h))
                 singles.append((h[times > 0], times[times > 0]))
                 pairs.append(pair_key(h[before(token, starts, len(h) - 1)], h[token]))
@@ -255,7 +255,7 @@ class Model:
 def learn(texts: DataFrame, text: str = "text") -> Model:
     """Counts all texts and builds the filter."""
     spark = texts.sparkSession
-    rows = texts.select(F.col(text).cast("string").alias("text"))
+    rows = texts.select(column(text).cast("string").alias("text"))
     bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))
     counted = table(rows.mapInArrow(_counts(bits), "kind int, part long, keys binary, counts binary"), "counts")
     vocabulary = table(counted.filter("kind = 0").groupBy("part").applyInArrow(_words_of, "h long, c long"), "vocabulary")
@@ -327,8 +327,10 @@ def _scores(shared):
                 uid += asked.rows.num_rows
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                held.append(Asked.of(batch.slice(at, DOCS_AT_ONCE), model))
+            at = 0
+            for part in slices(batch.column(2), DOCS_AT_ONCE):
+                held.append(Asked.of(batch.slice(at, len(part)), model))
+                at += len(part)
                 n += len(held[-1].token)
                 if n >= ASKED_TOKENS:
                     yield from flush()
@@ -343,7 +345,7 @@ def _scores(shared):
 def score(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), column(text).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(Model(model.folder, model.prefix, model.head, model.head_counts, model.n, model.v, None))
     scored = table(rows.mapInArrow(_scores(shared), SCORED), "scores")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))

@@ -12,13 +12,14 @@ the constraint holds exactly for these rates.
 
 Rates are rounded to copies systematically: with the documents of a source from large to small, a document takes as many
 copies as the running sum of rates passes halves. The running sum starts in each cell (source, bin, salt) at what the cells
-before add up to, so a large source is rounded by many tasks. What rounding the large sizes leaves over is put into the
+before add up to, so a large source is rounded by many tasks. Rows of one doc_id and text that would fill a cell are dealt to several, one after the other; which of them
+gets a copy more is the only thing that depends on their order. What rounding the large sizes leaves over is put into the
 small ones: the smallest sizes that hold a quarter of a source's words get their rates from a second solution, whose target is
 what is still missing.
 
 Defined cases: null or empty text has size 0 and stays at its rate; null sources form one source, last in order; a target of
-cap times the source takes every document cap times; repeated rows are rounded one by one; an empty table gives no rows;
-names of kept columns can't clash, since they travel in a struct.
+cap times the source takes every document cap times; repeated rows are rounded one by one, and no group of them fills a cell; a text of any length is one size, in a bin of its octave; an empty table gives no rows;
+names of kept columns can't clash, since they travel in a struct, whatever letters they hold. Runs over the same rows give the same copies.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD, documents, table
+from tidelog.llm.common import WORD, column, documents, table, whole
 
 STEPS = 60
 CELL_ROWS = 10_000
@@ -34,7 +35,7 @@ FINE_SHARE = 0.25
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def size_bin(size: Column) -> Column:
@@ -42,18 +43,22 @@ def size_bin(size: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """sizes: s_null, s_name, source_size (a row per source). Adds weight and target. Sources by code point, null last, weigh as weights say, in turn; a target stops at cap times its source, and what is over goes to the others by weight until none is above.
-    Equal to: with the sources in order of size to weight, the first few are full and the others get what is left by weight; the fewest that leave no other above its cap."""
-    rank = F.row_number().over(Window.orderBy("s_null", "s_name")) - 1
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int")))
-    by_fill = Window.orderBy(F.col("source_size") / F.col("weight"), "s_null", "s_name")
-    before, every = by_fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    full, used = F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (share * F.sum("source_size").over(every) - full) / (F.sum("weight").over(every) - used)
-    levels = weighed.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= cap * F.col("source_size"))
-    # the level of the first source that isn't filled holds for it and all after it
-    held = levels.withColumn("at", F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(by_fill.rowsBetween(Window.unboundedPreceding, 0)))
-    return held.select("s_null", "s_name", F.col("source_size"), F.coalesce(F.least(F.col("at") * F.col("weight"), cap * F.col("source_size")), cap * F.col("source_size")).cast("double").alias("target"))
+    """sizes: s_null, s_name, source_size (a row per source). Adds target. Sources by code point, null last, weigh as weights say, in turn; a target stops at cap times its source, and what is over goes to the others by weight until none is above.
+    The sources are numbered within ranges of names, and the ranges one after the other; the level that the open sources share comes from a sum over all for each round, and the sources that it fills are out of the next."""
+    ranged = table(sizes.repartitionByRange("s_null", "s_name").withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part")  # a row per range
+    ranges = ranged.groupBy("part").count().select("part", (F.sum("count").over(before) - F.col("count")).alias("earlier"))
+    rank = F.col("earlier") + F.row_number().over(Window.partitionBy("part").orderBy("s_null", "s_name")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    weighed = table(ranged.join(F.broadcast(ranges), "part").select("s_null", "s_name", "source_size", weight.alias("weight"), (cap * F.col("source_size")).alias("most")), "weighed")
+    every, level, filled = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share, 0.0, -1
+    while True:
+        full = F.col("weight") * level > F.col("most")
+        used, rest, n = weighed.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)), F.count_if(full)).first()
+        if n == filled or not rest:
+            break
+        level, filled = (every - used) / rest, n
+    return weighed.select("s_null", "s_name", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("most")).cast("double").alias("target"))
 
 
 def _rate(lam: Column, u: Column, cap: float) -> Column:
@@ -95,11 +100,11 @@ def _solved(histogram: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
 
 def mix(docs: DataFrame, keep: list[str] | None = None, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """record (struct of the columns in keep, all by default), size, source_size, target, rate, copies, for every row of docs."""
-    name = F.col(source).cast("string")
-    keyed = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("record"), name.isNull().alias("s_null"), F.coalesce(name, F.lit("")).alias("s_name"), word_count(text).alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("tie")).withColumn("bin", size_bin(F.col("size")))
-    narrow = table(keyed.select("s_null", "s_name", "bin", "size", "tie") if keep is None else keyed, "sizes")
-    if keep is not None:
-        keyed = narrow
+    name = column(source).cast("string")
+    keyed = docs.select(whole(docs, keep).alias("record"), name.isNull().alias("s_null"), F.coalesce(name, F.lit("")).alias("s_name"), word_count(text).alias("size"), F.xxhash64(column(doc_id), column(text)).alias("tie"), F.monotonically_increasing_id().alias("row")).withColumn("bin", size_bin(F.col("size")))
+    keyed = table(keyed, "sizes")
+    narrow = keyed.select("s_null", "s_name", "bin", "size", "tie", "row")
+    hot = table(narrow.groupBy("s_null", "s_name", "bin", "tie").agg(F.count("*").alias("times")).filter(F.col("times") > CELL_ROWS), "repeated")
     histogram = table(narrow.groupBy("s_null", "s_name", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "histogram")
     goal = targets(histogram.groupBy("s_null", "s_name").agg(F.sum("words").alias("source_size")), weights, share, cap)
     goal = table(goal, "targets")
@@ -111,15 +116,17 @@ def mix(docs: DataFrame, keep: list[str] | None = None, cap: float = 2.0, weight
 
     def copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
         """Adds the copies of each row; rates: s_null, s_name, bin, n, rate."""
-        dealt = rows.join(rates, ["s_null", "s_name", "bin"]).withColumn("salt", F.pmod("tie", salts))
-        cells = dealt.groupBy("s_null", "s_name", "bin", "salt").agg((F.count("*") * F.first("rate")).alias("sum"))
-        before = cells.select("s_null", "s_name", "bin", "salt", (F.sum("sum").over(per.orderBy(F.desc("bin"), "salt")) - F.col("sum")).alias("before"))
-        within = F.row_number().over(Window.partitionBy("s_null", "s_name", "bin", "salt").orderBy("tie"))
-        placed = dealt.join(before, ["s_null", "s_name", "bin", "salt"]).withColumn("i", within)
+        cell = ["s_null", "s_name", "bin", "salt", "same", "sub"]
+        split = F.pmod(F.xxhash64("row"), F.ceil(F.col("times") / CELL_ROWS).cast("long"))
+        dealt = rows.join(rates, ["s_null", "s_name", "bin"]).join(hot, ["s_null", "s_name", "bin", "tie"], "left").withColumns({"salt": F.pmod("tie", salts), "same": F.when(F.col("times").isNull(), 0).otherwise(F.col("tie")), "sub": F.coalesce(split, F.lit(0))})
+        cells = dealt.groupBy(*cell).agg((F.count("*") * F.first("rate")).alias("sum"))
+        before = cells.select(*cell, (F.sum("sum").over(per.orderBy(F.desc("bin"), "salt", "same", "sub")) - F.col("sum")).alias("before"))
+        within = F.row_number().over(Window.partitionBy(*cell).orderBy("tie"))
+        placed = dealt.join(before, cell).withColumn("i", within)
         reached = lambda i: F.floor(F.round(F.col("before") + F.col("rate") * i, 6) + 0.5)
         return placed.withColumn("copies", (reached(F.col("i")) - reached(F.col("i") - 1)).cast("int"))
 
-    coarse_sizes = copies(narrow.select("s_null", "s_name", "bin", "size", "tie"), first.filter(~F.col("fine")))
+    coarse_sizes = copies(narrow, first.filter(~F.col("fine")))
     taken = coarse_sizes.groupBy("s_null", "s_name").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     left = goal.join(taken, ["s_null", "s_name"], "left").select("s_null", "s_name", (F.col("target") - F.coalesce("taken", F.lit(0))).alias("target"))
     second = _solved(fine.filter("fine").select("s_null", "s_name", "bin", "n", "words"), left, cap)

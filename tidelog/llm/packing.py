@@ -5,7 +5,7 @@ are dealt by a hash to groups of bounded size, and each group is packed by best-
 into the open window that it leaves least room in. A segment tree over the remaining capacities finds that window.
 
 Defined cases: a null or empty text is one end id; a text longer than a window becomes full windows, each a sequence of its
-own, and a remainder; repeated rows, also of one doc_id, are packed once per row; an empty table gives no rows; null doc_ids
+own, and a remainder, whatever its length (texts are encoded at_once rows or BYTES_AT_ONCE together, a longer one alone); repeated rows, also of one doc_id, are packed once per row; an empty table gives no rows; null doc_ids
 are kept; other columns are left out, whatever their names. Of equal lengths, the smaller piece_id is placed first.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, give_back, table
+from tidelog.llm.common import column, documents, give_back, slices, table
 from tidelog.llm.encoding import ended, encoder
 
 #: Remainders of about so many tokens and pieces are packed together.
@@ -89,9 +89,10 @@ def _cut(tokenizer: str, window: int, end: int, at_once: int, remembered: int |
         enc = encoder(tokenizer, remembered)
         piece = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
-                ids, starts = ended(*enc.encode(part.column(1)), end)
+            at = 0
+            for texts in slices(batch.column(1), at_once):
+                part, at = batch.slice(at, len(texts)), at + len(texts)
+                ids, starts = ended(*enc.encode(texts), end)
                 totals = np.diff(starts)
                 counts = -(-totals // window)
                 doc = np.repeat(np.arange(part.num_rows), counts)
@@ -136,7 +137,7 @@ class Packed:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, doc_id: str = "doc_id", text: str = "text", at_once: int = ENCODED_AT_ONCE, remembered: int | None = None) -> Packed:
     """Packs all docs into windows. tokenizer: a file of the tokenizers library. A full window gets a sequence of its own. at_once, remembered: texts encoded together and pieces that a worker remembers; fewer take less memory and more time, and give the same ids."""
-    pieces = table(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(tokenizer, window, end, at_once, remembered), "piece_id long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
+    pieces = table(docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(_cut(tokenizer, window, end, at_once, remembered), "piece_id long, doc_id long, start long, length long, doc_tokens long, ids binary"), "pieces")
     tails = pieces.filter(F.col("length") < window).select("piece_id", "length")
     rows, tokens = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, math.ceil(rows / GROUP_PIECES), math.ceil(tokens / GROUP_TOKENS))

@@ -13,7 +13,8 @@ m documents cost m * (2 + log2(n / m)) bits instead of 64 m. select(i) finds the
 512 bits, and so the start of document i, without decoding the others.
 
 Defined cases: a null or empty text is one end id; repeated doc_ids stay rows of their own, ordered by their texts' hashes;
-null doc_ids come first; an empty table gives no file and no rows; other columns are left out.
+null doc_ids come first; an empty table gives no file and no rows; other columns are left out, whatever their names; a text of any length is encoded whole and
+stays in one file. Reading a whole file checks the CRC of its ids, and raises where it differs.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import documents, filesystem, fresh_dir, give_back, table
+from tidelog.llm.common import column, documents, estimated_bytes, filesystem, fresh_dir, give_back, slices, table
 from tidelog.llm.encoding import ended, encoder
 
 MAGIC, VERSION = b"TLEF", 1
 FOOTER = struct.Struct("<4sIIIQQQI")
 BLOCK = 512
 ENCODED_AT_ONCE = 2_000
+#: A file holds the documents of about so many bytes of input, or fewer.
+FILE_BYTES = 256 << 20
 
 
 class EliasFano:
@@ -150,11 +153,12 @@ def _writes(tokenizer: str, folder: str, end: int):
         shard, out = TaskContext.get().partitionId(), None
         path = f"{folder}/shard-{shard:08d}.tlef"
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED_AT_ONCE):
-                part = batch.slice(at, ENCODED_AT_ONCE)
+            at = 0
+            for texts in slices(batch.column(1), ENCODED_AT_ONCE):
                 out = out or Writer(path, width)
-                ids, starts = ended(*enc.encode(part.column(1)), end)
-                out.add(part.column(0).to_pylist(), ids, starts)
+                ids, starts = ended(*enc.encode(texts), end)
+                out.add(batch.column(0).slice(at, len(texts)).to_pylist(), ids, starts)
+                at += len(texts)
         give_back()
         if out:
             out.close()
@@ -166,9 +170,10 @@ def _writes(tokenizer: str, folder: str, end: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes all docs in ascending doc_id order, a file for each range of doc_ids; gives the manifest: shard, path, documents, tokens, base (ids in the files before).
     The ranges come from Spark's range partitioning; a doc_id that many rows share is split by the texts' hashes and the rows' places. The manifest has a row per file."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     keys = ["doc_id", F.xxhash64("text"), F.spark_partition_id()]
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(rows, "text") // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, *keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
     done = table(ordered.mapInArrow(_writes(tokenizer, folder, end), "shard long, path string, documents long, tokens long"), "manifest")
     before, base = done.orderBy("shard").collect(), 0  # a row per file
     based = []
@@ -181,13 +186,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 1
 def _reads(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            file = Reader(row["path"])
+            file, crc = Reader(row["path"]), 0
             for at in range(0, file.count, ENCODED_AT_ONCE):
                 own = file.starts.selects(at, min(at + ENCODED_AT_ONCE, file.count) + 1)
-                body = file.span(int(own[0]), int(own[-1])).astype("<u4")
+                body = file.span(int(own[0]), int(own[-1]))
+                crc, body = zlib.crc32(body, crc), body.astype("<u4")
                 local = own - own[0]
                 ids = [body[a:b].tobytes() for a, b in zip(local, local[1:], strict=False)]
                 yield pa.record_batch({"doc_id": pa.array(file.doc_ids[at : at + ENCODED_AT_ONCE], pa.int64()), "start": pa.array(own[:-1] + row["base"], pa.int64()), "n_tokens": pa.array(np.diff(own), pa.int64()), "ids": pa.array(ids, pa.binary())})
+            if crc != file.crc:
+                raise ValueError(f"{row['path']}: the ids differ from their CRC")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

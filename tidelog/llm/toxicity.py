@@ -12,7 +12,8 @@ sample of labelled rows (SAMPLE, the rows of least hash), turns them into a scor
 
 Defined cases: null and empty texts, and texts without any hit, get the score of a text with no hit; repeated rows get the
 same score; null labels don't count as labelled; without any labelled row of either kind the list to start from and fixed
-weights score; an empty table gives no rows; other columns stay out of the score.
+weights score; an empty table gives no rows; other columns stay out of the score. Texts are scored whole, whatever their length; labels that fall on one hash with the last of
+the sample are all learned from.
 """
 
 from __future__ import annotations
@@ -327,7 +328,9 @@ def fit(labelled: DataFrame) -> Model:
     """labelled: text, toxic. Learns from SAMPLE rows at most; of near copies with one label mostly one counts, since the words that only they share say nothing."""
     rows = labelled.filter("toxic in (0, 1)").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates()
     tasks = labelled.sparkSession.sparkContext.defaultParallelism
-    drawn = rows.orderBy(F.xxhash64("text"), "text", "toxic").limit(SAMPLE).repartition(tasks).mapInArrow(_marked, "text string, toxic int, a long, b long")
+    found = table(rows.withColumn("hash", F.xxhash64("text")), "found")
+    last = found.select("hash").orderBy("hash").limit(SAMPLE).agg(F.max("hash")).first()[0]  # hashes only, no texts, meet in one task
+    drawn = found.filter(F.col("hash") <= F.lit(last)).select("text", "toxic").repartition(tasks).mapInArrow(_marked, "text string, toxic int, a long, b long")
     one_a = drawn.groupBy("a", "toxic").agg(F.min(F.struct("text", "b")).alias("kept")).select("toxic", "kept.text", "kept.b")
     sample = table(one_a.groupBy("b", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     of = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}

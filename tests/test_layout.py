@@ -62,3 +62,10 @@ def test_known_cases():
 def test_encode_small(size):
     assert len(layout.encode(faults.sample_columns(1, size))) == 84 * size
     assert np.all(layout.decode(b"") == layout.decode(b""))
+
+
+def test_crcs_of_many_records_are_those_of_each():
+    raw = np.random.default_rng(1).bytes(layout.RECORD_BYTES * (layout.TOGETHER + layout.MANY + 7))
+    records = layout.decode(raw)
+    each = [layout.zlib.crc32(raw[i : i + 80]) for i in range(0, len(raw), layout.RECORD_BYTES)]
+    assert layout.crcs(records).tolist() == each and layout.crcs(records[:5]).tolist() == each[:5] and layout.crcs(records[::2]).tolist() == each[::2] and not len(layout.crcs(records[:0]))

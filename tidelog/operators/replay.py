@@ -30,11 +30,11 @@ class Replay:
     count: int
 
 
-def replay(spark: SparkSession, path: str, low: int = 0, high: int = layout.U64_MAX, most: int | None = None, unsigned: str = "long") -> Replay:
-    """Records of sequence low to high, both included, at most `most` of them. A limit of 0 gives one row, as long as the range has any."""
+def replay(spark: SparkSession, path: str, low: int = 0, high: int = layout.U64_MAX, most: int | None = None, unsigned: str = "long", report: Report | None = None) -> Replay:
+    """Records of sequence low to high, both included, at most `most` of them. A limit of 0 gives one row, as long as the range has any. report: of a validation of this log as it is, if there was one; else it is validated."""
     if low > high:
         raise ValueError("the range's start lies behind its end")
-    report = validate(path, spark)
+    report = report or validate(path, spark)
     first = shape(path)[3] if report.valid_records else 0
     start = max(0, low - first)
     end = max(start, min(report.valid_records, high - first + 1))
@@ -73,15 +73,16 @@ def summary_line(s: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def six_digits(values: pd.Series) -> pd.Series:
-    """Doubles with six significant digits, trailing zeros left out; Spark's own format keeps them."""
-    return values.map(lambda v: f"{v:.6g}")
+def six_digits(*columns: pd.Series) -> pd.Series:
+    """Doubles with six significant digits, trailing zeros left out (Spark's own format keeps them), those of a row with commas between."""
+    line = ",".join(["%.6g"] * len(columns))
+    return pd.Series([line % row for row in zip(*columns, strict=True)], dtype=object)
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:
     """sequence, line: a CSV line of each row, status in decimal."""
-    values = [F.col(c).cast("string") if c in ("sequence", "timestamp_us", "system_status") else six_digits(c) for c in layout.COLUMNS]
-    return rows.select("sequence", F.concat_ws(",", *values).alias("line"))
+    text = lambda c: F.col(c).cast("string")
+    return rows.select("sequence", F.concat_ws(",", text("sequence"), text("timestamp_us"), six_digits(*layout.COLUMNS[2:-1]), text("system_status")).alias("line"))
 
 
 def table_lines(rows: DataFrame) -> DataFrame:
